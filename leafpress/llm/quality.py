@@ -29,7 +29,7 @@ SAMPLE = 4000
 WIDTH = 1 << 16
 EPOCHS, RATE = 4, 0.6
 #: Documents with a calibrated probability of good quality under this are rejected.
-LEAST_GOOD = 0.5
+LEAST_GOOD = 0.1
 MIN_WORDS, MOST_REPEAT_PERCENT = 10, 20
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     """The classifier, fitted in one task on at most ``sample`` labelled rows."""
     labels = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_good")).dropna().filter("_good in (0, 1)")
     chosen = labels.orderBy(F.xxhash64("_id"), "_id", "_good").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most ``sample`` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_good")  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
