@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafpress.llm import mixing, packing, quality, secrets, sharding, substrings
+from leafpress.llm import mixing, packing, quality, secrets, sharding, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_quality_rules, op6_pareto_mixing, op7_secret_scan, op10_hash_tree_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_quality_rules, op6_pareto_mixing, op7_secret_scan, op9_suffix_levels, op10_hash_tree_sharding)
 }
 ORACLES: dict[str, str] = {}

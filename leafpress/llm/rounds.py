@@ -88,57 +88,89 @@ def answered(replies: pa.Table, number: int, keys: np.ndarray, buckets: int) ->
     return out
 
 
+#: Keys that make a batch of a level family.
+BATCH_KEYS = 200_000
+
+
 class LevelFamily:
-    """A family of sorted arrays with geometrically growing sizes.
+    """A family of sorted arrays of distinct keys with geometrically growing sizes.
 
-    A new batch is merge-scanned against every level for equal keys, marks are
-    kept on both sides, and levels of like size are merged. Each batch's own
-    keys are distinct.
+    A new batch is sorted and merge-scanned against every level; keys found there
+    mark their entry, the others become a level, and levels of like size merge.
+    A key is marked if it comes twice, or, where keys have values, comes with
+    two different values.
     """
 
     def __init__(self) -> None:
-        self.levels: list[list[np.ndarray]] = []  # keys, marks, batch, place in it
-
-    def add(self, keys: np.ndarray, marks: np.ndarray, batch: int) -> None:
-        marks = marks.copy()
-        for known, hit, *_ in self.levels:
-            at = np.searchsorted(known, keys)
-            same = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == keys)
-            # A level may hold a key from several batches, side by side.
-            first, last = at[same], np.searchsorted(known, keys[same], side="right")
-            marks[same] = True
-            while len(first):
-                hit[first] = True
-                first, last = first + 1, last
-                more = first < last
-                first, last = first[more], last[more]
-        self.levels.append([keys, marks, np.full(len(keys), batch, dtype=np.int32), np.arange(len(keys), dtype=np.int32)])
+        self.levels: list[list[np.ndarray]] = []  # keys, values, marks
+
+    def add(self, keys: np.ndarray, marks: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        """Mask of the places where a key came for the first time."""
+        fresh = np.zeros(len(keys), dtype=bool)
+        if not len(keys):
+            return fresh
+        order = np.argsort(keys, kind="stable")
+        sorted_keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+        own, mark = sorted_keys[starts], np.logical_or.reduceat(marks[order], starts)
+        if values is None:
+            value = np.zeros(len(own), dtype=np.uint64)
+            mark |= np.diff(np.append(starts, len(keys))) > 1
+        else:
+            value = np.minimum.reduceat(values[order], starts)
+            mark |= value != np.maximum.reduceat(values[order], starts)
+        new = np.ones(len(own), dtype=bool)
+        for known, known_value, known_mark in self.levels:
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = np.flatnonzero(known[at] == own)
+            known_mark[at[hit]] |= True if values is None else mark[hit] | (known_value[at[hit]] != value[hit])
+            new[hit] = False
+        fresh[order[starts[new]]] = True
+        if new.any():
+            self.levels.append([own[new], value[new], mark[new]])
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             a, b = self.levels.pop(), self.levels.pop()
             both = [np.concatenate(x) for x in zip(b, a)]
             order = np.argsort(both[0], kind="stable")
             self.levels.append([x[order] for x in both])
+        return fresh
 
-    def marks(self, sizes: list[int]) -> list[np.ndarray]:
-        out = [np.zeros(n, dtype=bool) for n in sizes]
-        for _, hit, batch, place in self.levels:
-            at = np.flatnonzero(hit)
-            order = at[np.argsort(batch[at], kind="stable")]
-            ends = np.flatnonzero(np.diff(batch[order], append=-1)) + 1
-            for i, j in zip(np.concatenate([[0], ends[:-1]]), ends):
-                out[batch[order[i]]][place[order[i:j]]] = True
+    def marked(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=bool)
+        for known, _, mark in self.levels:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            out |= (known[at] == keys) & mark[at]
         return out
 
 
-def repeats(asked: pa.Table, number: int) -> pa.Table:
-    """Bits of the keys that come from two blocks, or are marked by one."""
-    family, sizes = LevelFamily(), []
-    asked = asked.take(pa.array(np.argsort(asked["block"].to_numpy(), kind="stable"))).combine_chunks()
-    for k, raw in enumerate(asked["body"].to_pylist()):
-        (keys, marked), _ = body(raw, "<u8", "?")
-        family.add(keys, marked, k)
-        sizes.append(len(keys))
-    return answers(asked, family.marks(sizes), number)
+def in_order(asked: pa.Table) -> pa.Table:
+    return asked.take(pa.array(np.argsort(asked["block"].to_numpy(), kind="stable"))).combine_chunks()
+
+
+def repeats(asked: pa.Table, number: int, firsts: int = 0, valued: bool = False) -> pa.Table:
+    """Bits of the keys that come from two blocks, or are marked by one; in round
+    ``firsts``, of those that come here first. ``valued``: of keys with two values."""
+    family, keys, fresh, sizes = LevelFamily(), [], [], []
+    asked = in_order(asked)
+    batch: list[list[np.ndarray]] = []
+
+    def flush() -> None:
+        if batch:
+            k, m, v = (np.concatenate(x) for x in zip(*batch))
+            fresh.append(family.add(k, m, v if valued else None))
+            keys.append(k)
+            batch.clear()
+
+    for raw in asked["body"].to_pylist():
+        (k, m, *v), _ = body(raw, "<u8", "?", *["<u8"] * valued)
+        batch.append([k, m, v[0] if valued else m])
+        sizes.append(len(k))
+        if sum(len(b[0]) for b in batch) >= BATCH_KEYS:
+            flush()
+    flush()
+    at = np.cumsum(sizes)[:-1]
+    out = answers(asked, np.split(family.marked(np.concatenate(keys)), at), number)
+    return pa.concat_tables([out, answers(asked, np.split(np.concatenate(fresh), at), firsts)]) if firsts else out
 
 
 def ask_repeats(block: int, keys: np.ndarray, buckets: int) -> tuple[pa.Table, np.ndarray]:
