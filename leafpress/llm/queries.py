@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafpress.llm import mixing, packing, quality, secrets, sharding, substrings, suffixes
+from leafpress.llm import mixing, neighbours, packing, quality, secrets, sharding, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_int8_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.pmod(F.col("vec_id"), F.lit(20)) == 0))
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +51,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_quality_rules, op6_pareto_mixing, op7_secret_scan, op9_suffix_levels, op10_hash_tree_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_quality_rules, op4_int8_block_join, op6_pareto_mixing, op7_secret_scan, op9_suffix_levels, op10_hash_tree_sharding)
 }
 ORACLES: dict[str, str] = {}
