@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import mixing, neighbours, packing, quality, secrets, sharding, substrings, suffixes
+from leafpress.llm import jaccard, mixing, neighbours, packing, quality, secrets, sharding, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_quality_rules, op4_int8_block_join, op6_pareto_mixing, op7_secret_scan, op9_suffix_levels, op10_hash_tree_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_quality_rules, op4_int8_block_join, op6_pareto_mixing, op7_secret_scan, op8_minhash_forest_join, op9_suffix_levels, op10_hash_tree_sharding)
 }
 ORACLES: dict[str, str] = {}
