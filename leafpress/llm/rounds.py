@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.llm.staging import parts_for
@@ -26,12 +26,12 @@ _ASK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("body", pa.bin
 _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("round", pa.int32()), ("bits", pa.binary())])
 
 
-def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(block, doc_id, check, text) and the number of buckets. Equal rows share a block."""
-    blocks, buckets = parts_for(docs, BLOCK_BYTES), parts_for(docs, BUCKET_BYTES, most=20_000)
+def dealt(docs: DataFrame, *more: Column, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(block, doc_id, check, more, text) and the number of buckets. Equal rows share a block."""
+    blocks, buckets = parts_for(docs, block_bytes), parts_for(docs, BUCKET_BYTES, most=20_000)
     text = F.coalesce(F.col("text"), F.lit(""))
     block = F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long"), F.crc32(text.cast("binary")).alias("check"), text.alias("text")), buckets
+    return docs.select(block.alias("block"), F.col("doc_id").cast("long"), F.crc32(text.cast("binary")).alias("check"), *more, text.alias("text")), buckets
 
 
 def ordered(table: pa.Table) -> pa.Table:
