@@ -267,6 +267,7 @@ def _links(docs: DataFrame, sized: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def distinct(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The documents, of each group the one with the smallest id (documents without words stay)."""
-    stay = join(docs, similarity).filter((F.col("class_id") == F.col("doc_id")) | (F.col("key") == 0)).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """The documents, of each group those with the smallest id (documents without words stay)."""
+    stay = join(docs, similarity).filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("_doc"))  # own names cannot clash
+    return rows.join(stay, F.col("_doc.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("_doc.*")

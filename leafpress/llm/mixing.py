@@ -93,3 +93,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     copies = (F.col("whole") + F.col("_more")).cast("long")
     out = rest.unionByName(edge_rows).withColumn("copies", copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents, each as many times as the mix takes it."""
+    taken = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.select(F.struct("*").alias("_doc"), words(F.col("text")).alias("_size"))  # own names cannot clash
+    rows = rows.join(taken, F.col("_doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_size") == F.col("size")))
+    return rows.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_doc.*")

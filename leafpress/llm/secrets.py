@@ -125,8 +125,8 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     hit = F.lit(False)
     for pattern in (KINDS[0][1], *_RUNS.values(), LIVE):
         hit = hit | F.rlike(text, F.lit(pattern))
-    names = docs.columns
-    found = scan(docs.filter(hit), [c for c in names if c != "doc_id"])
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")  # own names cannot clash
+    found = scan(docs.filter(hit).select("doc_id", "source", "text", doc), ["text", "_doc"])
     until = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda s: s["end"])), F.lit(0))
 
     def piece(span: Column, i: Column) -> Column:
@@ -135,7 +135,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     rest = let(until(F.size("spans")), lambda done: F.substring("text", done + 1, F.char_length("text") - done))
     masked = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.transform("spans", piece), ""), rest))
-    found = found.withColumn("text", masked)
-    if "n_chars" in names:
-        found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.filter(~hit).unionByName(found.select(*names))
+    found = found.select(masked.alias("text"), "_doc")
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    found = found.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns))
+    return docs.filter(~hit).unionByName(found)
