@@ -161,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         model = fit([r for _, r in got])
         yield pa.RecordBatch.from_arrays([pa.array([None if model is None else model.astype("<f8").tobytes()], pa.binary())], ["model"])
 
-    (row,) = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return None if row["model"] is None else np.frombuffer(row["model"], dtype="<f8")
+    models = [r["model"] for r in rows.repartition(1).mapInArrow(run, "model binary").collect() if r["model"] is not None]
+    return np.frombuffer(models[0], dtype="<f8") if models else None
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_good: float = LEAST_GOOD, carry: bool = False) -> DataFrame:
