@@ -149,14 +149,20 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of (a, b) edges.
 
-    Minimum labels spread along the edges and through their own labels' labels;
-    each round is staged, and only the number of changes reaches the driver.
+    Minimum labels spread along the edges, to the nodes that labels name, and
+    through labels of labels, so rounds grow with the logarithm of the component;
+    each round is staged, and only whether labels changed reaches the driver.
     """
     both = stage(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        seen = both.join(of_b, "b").join(of_a, "a").filter("lb < la")
+        # A smaller label is offered to the node and to the node that its label names.
+        offers = seen.select(F.col("a").alias("node"), "lb").unionAll(seen.select(F.col("la").alias("node"), "lb"))
+        offers = offers.groupBy("node").agg(F.min("lb").alias("near"))
+        step = labels.join(offers, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         labels_new = stage(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")))
         changed = labels_new.filter("old != label").limit(1).count()

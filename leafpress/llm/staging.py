@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Catalyst's size for plans that it knows nothing about is near the largest long.
+_UNKNOWN = 1 << 55
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -21,8 +25,11 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file bytes for a table scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of ``df`` (file bytes for a table scan), or its texts' bytes where that is unknown."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate >= _UNKNOWN:
+        estimate = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    return estimate
 
 
 def parts_for(df: DataFrame, each_bytes: int, least: int = 8, most: int = 1_000_000) -> int:
