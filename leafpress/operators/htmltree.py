@@ -243,6 +243,8 @@ class _Builder(HTMLParser):
         kinds = HEADINGS if tag in HEADINGS else {tag}
         if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"):
             stop = frozenset({"table", "html"})
+        if tag == "table":
+            stop = frozenset({"html"})
         if node := self._within(kinds, stop):
             if node is not self.body and node is not self.root:
                 self._pop_to(node)

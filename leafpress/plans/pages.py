@@ -30,9 +30,21 @@ DISTILL = "readable_html string, text string, images array<string>"
 SLICE = 64
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    text = kind.json()
+    for flag in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{flag}":false', f'"{flag}":true')
+    return T._parse_datatype_json_string(text)
+
+
+def _as(column: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The column in the declared type; nested types that differ in nullability are rebuilt."""
+    return column if column.type == kind else pa.array(column.to_pylist(), kind)
+
+
 def page_map(df: DataFrame, step: Callable[[dict], dict], fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add a kernel's columns to each row; batches are cut so that no slice holds many pages."""
-    kept = [f for f in df.schema.fields if f.name not in drop]
+    kept = [T.StructField(f.name, _nullable(f.dataType)) for f in df.schema.fields if f.name not in drop]
     out = T.StructType([*kept, *T._parse_datatype_string(fields).fields])
     arrow, names = to_arrow_schema(out), [f.name for f in kept]
 
@@ -41,7 +53,7 @@ def page_map(df: DataFrame, step: Callable[[dict], dict], fields: str, drop: tup
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 rows = [step(r) for r in part.to_pylist()]
-                cols = [part.column(part.schema.get_field_index(n)).cast(arrow.field(n).type) for n in names]
+                cols = [_as(part.column(part.schema.get_field_index(n)), arrow.field(n).type) for n in names]
                 cols += [pa.array([r.get(f.name) for r in rows], arrow.field(f.name).type) for f in out.fields[len(kept) :]]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
