@@ -88,7 +88,7 @@ def tile(query: dict, cand: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
         keep = (near + slack >= floor[:, None]) & ~own
         for i in range(keep.shape[0]):
             js = np.flatnonzero(keep[i])
-            score = (cv[js] * qv[at + i]).sum(axis=1)
+            score = np.cumsum(cv[js] * qv[at + i], axis=1)[:, -1]  # summed in order
             best = heapq.nsmallest(k, zip((-score).tolist(), ci[js].tolist()))
             out[0] += [int(qi[at + i])] * len(best)
             out[1] += [c for _, c in best]

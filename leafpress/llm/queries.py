@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import jaccard, language_model, mixing, neighbours, packing, quality, secrets, sharding, substrings, suffixes
+from leafpress.llm import jaccard, language_model, mixing, neighbours, packing, quality, secrets, sharding, sql, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(_table(spark, sf_dir, "documents"))
+    return substrings.dedup(_table(spark, sf_dir, "documents")).drop("factors")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,4 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_quality_rules, op4_int8_block_join, op5_elias_fano_scores, op6_pareto_mixing, op7_secret_scan, op8_minhash_forest_join, op9_suffix_levels, op10_hash_tree_sharding)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
