@@ -164,6 +164,8 @@ def recover_meta(labelled: DataFrame, model: str | None = None) -> DataFrame:
     own = F.try_element_at(F.filter("sentences", lambda s: s["label"] == "source"), F.lit(1))["text"]
     meta = F.col("meta")
     for name, fallback in (("title", None), ("author", None), ("publish_time", None), ("content_source", own)):
+        if not model and fallback is None:
+            continue  # nothing to fill it from
         options = [F.nullif(meta[name], F.lit(""))]
         if model:
             options.append(F.nullif(F.col(model)[name], F.lit("")))
