@@ -280,10 +280,10 @@ def interval_lookup(spark, d):
     return W.interval_lookup(points, spans, ["o_orderkey"], "at", "a", "b").select("o_orderkey", "l_linenumber")
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(left(text, 2000), '[^.\n]*(\.|\n)+'), lambda x: trim(x) <> '')) >= 0 AS cut FROM documents")
+@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(left(text, 2000), '[^.\n]*(\.|\n)+'), lambda x: trim(x) <> '')) AS cut FROM documents")
 def sentences_stop_sign(spark, d):
     cut = F.filter(F.regexp_extract_all(F.substring("text", 1, 2000), F.lit(r"[^.\n]*(\.|\n)+"), F.lit(0)), lambda x: F.trim(x) != "")
-    return table(spark, d, "documents").select("doc_id", (F.size(cut) >= 0).alias("cut"))
+    return table(spark, d, "documents").select("doc_id", F.size(cut).cast("bigint").alias("cut"))
 
 
 @query("SELECT doc_id, text AS joined FROM documents")
