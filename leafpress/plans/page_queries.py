@@ -286,6 +286,19 @@ def sentences_stop_sign(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(cut).cast("bigint").alias("cut"))
 
 
+@query()
+def sentences_stop_sign_whole(spark, d):
+    """Sentences of whole texts by the sentence operator, blank ones left out."""
+
+    def run(row):
+        from leafpress.operators.sentences import cut
+
+        text = row["text"] or ""
+        return {"cut": sum(1 for a, b in cut(text) if text[a:b].strip())}
+
+    return P.page_map(table(spark, d, "documents").select("doc_id", "text"), run, "cut bigint", ("text",))
+
+
 @query("SELECT doc_id, text AS joined FROM documents")
 def sentence_cut(spark, d):
     """Sentences are contiguous: joined again they are the text."""
