@@ -174,6 +174,12 @@ def replace_links(spark, d):
     return table(spark, d, "documents").select("doc_id", X.replace_links(F.substring("text", 1, 200), links).alias("replaced"))
 
 
+@query("SELECT doc_id, replace(replace(text, 'and', 'A'), 'an', 'B') AS replaced FROM documents")
+def replace_links_whole(spark, d):
+    links = F.create_map(F.lit("an"), F.lit("B"), F.lit("and"), F.lit("A"))
+    return table(spark, d, "documents").select("doc_id", X.replace_links(F.col("text"), links).alias("replaced"))
+
+
 @query("SELECT doc_id, substring(text, 1, 50) AS head, substring(text, 11) AS rest FROM (SELECT doc_id, text || 'zzzzzzzzzzzz' AS text FROM documents)")
 def first_n(spark, d):
     text = F.concat("text", F.lit("zzzzzzzzzzzz"))
@@ -200,6 +206,11 @@ def dedup_ordered(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.slice(F.split("text", " "), 1, 60)), " ").alias("words"))
 
 
+@query()
+def dedup_ordered_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def json_roundtrip(spark, d):
     rows = table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("j"))
