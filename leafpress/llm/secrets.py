@@ -1,12 +1,13 @@
 """Secret scan with corpus-wide ownership frequency (native DataFrame functions only).
 
 Pattern hits are kept as they are. Generic key-like strings are hashed and
-counted over the corpus by distinct repositories (documents) and owners
-(sources): strings that several owners share are published examples; those of
-one owner look like live credentials and are added as spans of kind ``live``.
+counted over the corpus by distinct repositories (documents, copies of one text
+once) and owners (sources): strings that are widely copied by both counts are
+published examples; the others look like live credentials and are added as spans
+of kind ``live``. Both bounds grow with the corpus (``needed``).
 
-Defined cases: a null text is empty and has no spans; a null source is an owner
-of its own; repeated rows are reported each; very long texts are scanned whole;
+Defined cases: a null text is empty and has no spans; null sources are one
+owner; repeated rows are reported each; very long texts are scanned whole;
 an empty table gives an empty table.
 """
 
@@ -28,7 +29,9 @@ KINDS = (
 #: Maximal runs in which the least length is part of the pattern, with equal matches.
 _RUNS = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 LIVE = r"[A-Za-z0-9+/_=-]{20,}"
-LIVE_RANK, MOST_OWNERS, SALTS = 3, 1, 16
+LIVE_RANK, SALTS = 3, 16
+#: An example has this many owners and texts, and this share of all; in small corpora a part of the texts.
+LEAST, SHARE, PART = 3, 0.001, 0.1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,17 +91,38 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, base and all spans (start, rank, end), kept columns."""
+def needed(texts: int, owners: int) -> tuple[float, float]:
+    """Distinct texts and owners that an example has at least, in a corpus of so many."""
+    return min(LEAST + SHARE * texts, PART * texts), max(LEAST, SHARE * owners)
+
+
+def _distinct_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """How many texts and owners; nulls are an owner."""
+    owner = F.struct("_owner")  # a struct of a null is no null
+    return rows.groupBy(*by).agg(F.count_distinct("_text").alias("texts"), F.count_distinct(owner).alias("owners"))
+
+
+def _marked() -> list[Column]:
+    """A document's owner and text as they are counted."""
+    return [F.col("source").alias("_owner"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text")]
+
+
+def scan(docs: DataFrame, keep: list[str] | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """One row per document: doc_id, base and all spans (start, rank, end), kept columns.
+
+    ``corpus``: all documents, where ``docs`` are only those that can have hits.
+    """
     keep = keep or []
     text = F.coalesce(F.col("text"), F.lit(""))
     likely = F.filter(located(text, LIVE), lambda m: F.rlike(m["value"], F.lit("[0-9]")) & F.rlike(m["value"], F.lit("[A-Za-z]")))
     cands = F.transform(likely, lambda m: F.struct(m["start"].alias("start"), F.lit(LIVE_RANK).alias("rank"), m["end"].alias("end"), F.xxhash64(m["value"]).alias("hash")))
-    rows = docs.select("doc_id", F.col("source").alias("_owner"), _spans(text).alias("base"), cands.alias("cands"), *keep)
+    rows = docs.select("doc_id", *_marked(), _spans(text).alias("base"), cands.alias("cands"), *keep)
     rows = stage(rows).withColumn("_row", F.monotonically_increasing_id())
-    seen = rows.select("_row", "_owner", F.explode("cands").alias("c")).select("_row", "_owner", "c.*")
-    owners = seen.groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    live = owners.filter(F.col("owners") <= MOST_OWNERS).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    seen = rows.select("_row", "_owner", "_text", F.explode("cands").alias("c")).select("_row", "_owner", "_text", "c.*")
+    whole = rows if corpus is None else corpus.select(*_marked())
+    least_texts, least_owners = needed(*_distinct_counts(whole).first())
+    counted = _distinct_counts(seen, "hash")
+    live = counted.filter((F.col("texts") < least_texts) | (F.col("owners") < least_owners)).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # A string that one owner repeats in many rows is spread over salts.
     hits = seen.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(live, ["hash", "salt"])
     added = hits.groupBy("_row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("live"))  # one document's spans
@@ -126,7 +150,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     for pattern in (KINDS[0][1], *_RUNS.values(), LIVE):
         hit = hit | F.rlike(text, F.lit(pattern))
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")  # own names cannot clash
-    found = scan(docs.filter(hit).select("doc_id", "source", "text", doc), ["text", "_doc"])
+    found = scan(docs.filter(hit).select("doc_id", "source", "text", doc), ["text", "_doc"], docs)
     until = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda s: s["end"])), F.lit(0))
 
     def piece(span: Column, i: Column) -> Column:
