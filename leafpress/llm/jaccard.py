@@ -1,9 +1,9 @@
-"""Near-duplicate join: MinHash LSH forest, then exact Jaccard on word 5-grams.
+"""Near-duplicate join: MinHash banding in place of an LSH forest, then exact Jaccard on word 5-grams.
 
 Each distinct set of shingles is one class, however many documents share it.
-A class has ``TREES`` short signatures; a tree's sorted prefixes form a trie, and
-prefixes are shortened until a pair at the threshold meets in some tree with the
-target recall. Classes that meet are gathered into components, and every pair of
+A class has ``TREES`` short signatures (bands) of one fixed length, the longest at
+which a pair at the threshold meets in some band with the target recall; classes
+meet by equality on a whole band. There are no tries and nothing adapts to the data. Classes that meet are gathered into components, and every pair of
 a component is verified on the whole shingle sets: small components many at a
 time, large ones cut into blocks that meet pairwise, so that no task holds more
 than two blocks and no pair is written out.
