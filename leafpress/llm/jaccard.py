@@ -54,7 +54,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     short = np.flatnonzero((size > 0) & (size < SHINGLE))
     if len(short):
         at = np.searchsorted(doc, short)
-        whole = tn.span_hash(tn.prefix(words), at, at + size[short])
+        whole = tn.span_hash(words, at, size[short])
         grams, of = np.concatenate([grams, whole]), np.concatenate([of, short])
     order = np.lexsort((grams, of))
     grams, of = grams[order], of[order]

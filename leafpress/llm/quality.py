@@ -54,7 +54,7 @@ def base_counts(raw: np.ndarray, off: np.ndarray, starts: np.ndarray, doc: np.nd
         full = np.zeros(len(raw) + 1, dtype=np.int64)
         np.cumsum(solid, out=full[1:])
         some = full[end] > full[line]
-        key = tn.mix64(tn.span_hash(tn.prefix(raw.astype(np.uint64) + np.uint64(1)), line[some], end[some]) + of[some].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        key = tn.mix64(tn.word_hashes(raw, line[some], end[some]) + of[some].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         out["n_dup_lines"] = np.bincount(of[some][tn.later(key)], minlength=n)
     else:
         out["n_dup_lines"] = np.zeros(n, dtype=np.int64)

@@ -16,22 +16,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.llm.staging import parts_for
+from leafpress.llm.staging import text_bytes
 
-#: Input (file) bytes of a block of documents, and of those that share a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 2_500_000, 8_000_000
+#: Text bytes of a block of documents, of those that share a bucket, and of a task's.
+BLOCK_BYTES, BUCKET_BYTES, TASK_BYTES = 2_500_000, 8_000_000, 12_000_000
 ASK = "block int, bucket int, body binary"
 ANSWER = "block int, bucket int, round int, bits binary"
 _ASK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("round", pa.int32()), ("bits", pa.binary())])
 
 
-def dealt(docs: DataFrame, *more: Column, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, doc_id, check, more, text) and the number of buckets. Equal rows share a block."""
-    blocks, buckets = parts_for(docs, block_bytes), parts_for(docs, BUCKET_BYTES, most=20_000)
+class Deal:
+    """How documents are dealt: blocks and buckets grow with the texts, and so do the tasks that hold them."""
+
+    def __init__(self, docs: DataFrame, block_bytes: int):
+        size = text_bytes(docs)
+        self.blocks, self.buckets = max(8, -(-size // block_bytes)), max(8, -(-size // BUCKET_BYTES))
+        # Above some 100,000 tasks each takes more blocks, one after the other.
+        self.tasks = min(max(8, -(-size // TASK_BYTES)), 100_000)
+
+    def by(self, df: DataFrame, column: str) -> DataFrame:
+        return df.repartition(min(self.tasks, getattr(self, f"{column}s")), column)
+
+
+def dealt(docs: DataFrame, *more: Column, block_bytes: int | None = None) -> tuple[DataFrame, Deal]:
+    """(block, doc_id, check, more, text), by block, and how they were dealt. Equal rows share a block."""
+    deal = Deal(docs, block_bytes or BLOCK_BYTES)
     text = F.coalesce(F.col("text"), F.lit(""))
-    block = F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long"), F.crc32(text.cast("binary")).alias("check"), *more, text.alias("text")), buckets
+    block = F.pmod(F.xxhash64("doc_id", text), F.lit(deal.blocks)).cast("int")
+    rows = docs.select(block.alias("block"), F.col("doc_id").cast("long"), F.crc32(text.cast("binary")).alias("check"), *more, text.alias("text"))
+    return deal.by(rows, "block"), deal
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -53,12 +67,14 @@ def cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return of[at], np.append(at, len(keys))
 
 
-def questions(block: int, keys: np.ndarray, buckets: int, *columns: np.ndarray, head: bytes = b"") -> pa.Table:
-    """Rows that ask about sorted distinct keys; further columns go along, key by key."""
+def questions(block: int, keys: np.ndarray, buckets: int, *columns: np.ndarray, head: bytes = b"", send: np.ndarray | None = None) -> pa.Table:
+    """Rows that ask about sorted distinct keys; further columns go along, key by key.
+    ``send`` goes in the keys' place."""
     of, at = cuts(keys, buckets)
+    send = keys if send is None else send
     bodies = []
     for i, j in zip(at[:-1], at[1:]):
-        parts = [np.uint32(j - i).tobytes(), keys[i:j].tobytes(), *(c[i:j].tobytes() for c in columns), head]
+        parts = [np.uint32(j - i).tobytes(), send[i:j].tobytes(), *(c[i:j].tobytes() for c in columns), head]
         bodies.append(b"".join(parts))
     return pa.table([pa.array(np.full(len(of), block, dtype=np.int32)), pa.array(of.astype(np.int32)), pa.array(bodies, pa.binary())], schema=_ASK)
 
@@ -147,9 +163,10 @@ def in_order(asked: pa.Table) -> pa.Table:
     return asked.take(pa.array(np.argsort(asked["block"].to_numpy(), kind="stable"))).combine_chunks()
 
 
-def repeats(asked: pa.Table, number: int, firsts: int = 0, valued: bool = False) -> pa.Table:
+def repeats(asked: pa.Table, number: int, firsts: int = 0, valued: bool = False, kind: str = "<u8") -> pa.Table:
     """Bits of the keys that come from two blocks, or are marked by one; in round
-    ``firsts``, of those that come here first. ``valued``: of keys with two values."""
+    ``firsts``, of those that come here first. ``valued``: of keys with two values.
+    ``kind``: of the keys, hashes or bytes."""
     family, keys, fresh, sizes = LevelFamily(), [], [], []
     asked = in_order(asked)
     batch: list[list[np.ndarray]] = []
@@ -162,7 +179,7 @@ def repeats(asked: pa.Table, number: int, firsts: int = 0, valued: bool = False)
             batch.clear()
 
     for raw in asked["body"].to_pylist():
-        (k, m, *v), _ = body(raw, "<u8", "?", *["<u8"] * valued)
+        (k, m, *v), _ = body(raw, kind, "?", *["<u8"] * valued)
         batch.append([k, m, v[0] if valued else m])
         sizes.append(len(k))
         if sum(len(b[0]) for b in batch) >= BATCH_KEYS:
@@ -185,8 +202,8 @@ def first_round(blocks: DataFrame, ask: Callable[[pa.Table], pa.Table]) -> DataF
     return blocks.groupBy("block").applyInArrow(ask, ASK)
 
 
-def reply_round(asked: DataFrame, reply: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return asked.groupBy("bucket").applyInArrow(reply, ANSWER)
+def reply_round(deal: Deal, asked: DataFrame, reply: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    return deal.by(deal.by(asked, "bucket").groupBy("bucket").applyInArrow(reply, ANSWER), "block")
 
 
 def next_round(blocks: DataFrame, replies: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -7,10 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Catalyst's size for plans that it knows nothing about is near the largest long.
-_UNKNOWN = 1 << 55
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return the table read from there.
 
@@ -24,19 +20,6 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file bytes for a table scan), or its texts' bytes where that is unknown."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate >= _UNKNOWN:
-        estimate = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
-    return estimate
-
-
-def parts_for(df: DataFrame, each_bytes: int, least: int = 8, most: int = 1_000_000) -> int:
-    """How many groups of about ``each_bytes`` input bytes ``df`` makes."""
-    return max(least, min(most, -(-input_bytes(df) // each_bytes)))
-
-
-def task_count(df: DataFrame, parts: int) -> int:
-    """Shuffle partitions for ``parts`` groups: the session's setting, or more for more data."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(parts, 20_000))
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts, counted (one scan of the text column): file sizes say little of texts that compress well."""
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -75,16 +75,18 @@ def _first_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _earliest(asked: pa.Table) -> pa.Table:
     """Bits of the windows that another block has in an earlier document."""
     asked = asked.combine_chunks()
-    keys, rows, docs, checks, sizes = [], [], [], [], []
+    keys, anchors, rows, docs, checks, sizes = [], [], [], [], [], []
     for k, raw in enumerate(asked["body"].to_pylist()):
-        (key, row), head = rounds.body(raw, "<u8", "<u4")
+        (key, anchor, row), head = rounds.body(raw, "<u8", "<u4", "<u4")
+        anchors.append(anchor)
         ids = np.frombuffer(head, dtype="<i8").reshape(3, -1)
         keys.append(key)
         docs.append(ids[0][row])
         checks.append(ids[1][row] | ids[2][row] << 40)  # a null id counts as larger than any
         rows.append(np.full(len(key), k))
         sizes.append(len(key))
-    key, row, doc, check = (np.concatenate(x) for x in (keys, rows, docs, checks))
+    key, anchor, row, doc, check = (np.concatenate(x) for x in (keys, anchors, rows, docs, checks))
+    every = key
     order = np.argsort(key, kind="stable")
     key = key[order]
     twice = np.zeros(len(key), dtype=bool)
@@ -92,16 +94,17 @@ def _earliest(asked: pa.Table) -> pa.Table:
     twice[:-1] |= key[1:] == key[:-1]
     order = order[twice]
     null = check[order] >> 40
-    order = order[np.lexsort((check[order], doc[order], null, np.concatenate(keys)[order]))]
-    flat = np.concatenate(keys)[order]
+    order = order[np.lexsort((check[order], doc[order], null, anchor[order], every[order]))]
+    flat, beside = every[order], anchor[order]
     bits = np.zeros(len(row), dtype=bool)
-    bits[order[1:][flat[1:] == flat[:-1]]] = True
+    bits[order[1:][(flat[1:] == flat[:-1]) & (beside[1:] == beside[:-1])]] = True
     return rounds.answers(asked, np.split(bits, np.cumsum(sizes)[:-1]), 2)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """One row per document: words, removed words, hash of the kept text and the factors."""
-    blocks, buckets = rounds.dealt(docs)
+    blocks, deal = rounds.dealt(docs)
+    buckets = deal.buckets
 
     def anchors(table: pa.Table) -> pa.Table:
         return rounds.ask_repeats(table["block"][0].as_py(), Block(table, window).anchors, buckets)[0]
@@ -118,7 +121,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
         rows, local = np.unique(doc, return_inverse=True)
         ids = block.table["doc_id"]
         head = np.stack([ids.fill_null(0).to_numpy()[rows], block.table["check"].to_numpy()[rows], ids.is_null().to_numpy(zero_copy_only=False)[rows].astype(np.int64)]).astype("<i8").tobytes()
-        return rounds.questions(table["block"][0].as_py(), distinct, buckets, local.astype("<u4"), head=head)
+        anchor = (block.least[places[first]] >> np.uint64(32)).astype("<u4")
+        return rounds.questions(table["block"][0].as_py(), distinct, buckets, anchor, local.astype("<u4"), head=head)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(table, window)
@@ -145,6 +149,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
         return pa.table({"doc_id": block.table["doc_id"], "n_words": pa.array(np.diff(bounds), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "factors": pa.array(factors, kind)})
 
-    first = rounds.reply_round(rounds.first_round(blocks, anchors), lambda t: rounds.repeats(t, 1))
-    second = rounds.reply_round(rounds.next_round(blocks, first, windows, rounds.ASK), _earliest)
+    first = rounds.reply_round(deal, rounds.first_round(blocks, anchors), lambda t: rounds.repeats(t, 1))
+    second = rounds.reply_round(deal, rounds.next_round(blocks, first, windows, rounds.ASK), _earliest)
     return rounds.next_round(blocks, first.unionByName(second), finish, SCHEMA)

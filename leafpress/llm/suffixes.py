@@ -3,14 +3,13 @@
 Each block of documents is a batch. Its suffixes are indexed sparsely: where the
 hash of the next 64 bytes is the least of 137 in a row, so that equal 200-byte
 strings always share an indexed suffix at the same place. A bucket keeps a family
-of sorted arrays; a new batch is merge-scanned against every level, and levels of
-like size merge, so each key is merged a logarithmic number of times. Three such
-passes narrow the question: suffixes (64 bytes) that occur elsewhere, whole
-phrases around them (a run of windows that share a suffix), and single 200-byte
-windows of phrases that are not repeated as a whole.
-
-Suffixes are sorted by the 64-bit hash of the compared length, not by their
-bytes: equal strings, which is all that counts here, still lie side by side.
+of suffix arrays, ordered by the suffixes' bytes; a new batch is sorted, merge-
+scanned against every level for suffixes that match 64 bytes long, and levels of
+like size merge, so each suffix is merged a logarithmic number of times. Suffixes
+that occur elsewhere are then extended, to whole phrases around them (a run of
+windows that share a suffix) and, where phrases of one suffix differ, to single
+200-byte windows, both compared by 64-bit hash: two unlike strings are taken for
+equal with odds of one in 2^64.
 
 Defined cases: a null text is empty; matches never cross documents; repeated rows
 and repeated ids are documents of their own, so equal rows of 200 bytes or more
@@ -35,50 +34,61 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 class Part:
-    """A slice of a block: prefix sums, and runs of windows with one least suffix."""
+    """A slice of a block: hashes of its windows, and runs of windows with one least suffix."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, length: int):
         self.raw, self.off, self.length = raw, off, length
         n = max(0, len(raw) - length + 1)
-        self.sums = tn.prefix(raw.astype(np.uint64) + np.uint64(1))
+        self.grams = tn.byte_windows(raw, SUFFIX)
+        self.whole = tn.window_hash(self.grams, length, SUFFIX)
         if not n:
-            self.grams = self.least = np.zeros(0, np.uint64)
+            self.least = np.zeros(0, np.uint64)
             self.first = self.last = np.zeros(0, np.int64)
-            self.value = np.zeros(0, np.uint64)
+            self.value, self.split = np.zeros(0, np.uint64), np.zeros(0, dtype=bool)
             return
-        m = len(raw) - SUFFIX + 1
-        self.grams = tn.mix64((self.sums[SUFFIX:] - self.sums[:-SUFFIX]) * tn.powers(m)[1])
         self.least = rounds.sliding_min(self.grams, length - SUFFIX + 1)
         for end in off[1:-1]:  # windows that would leave their document
             self.least[max(0, end - length + 1) : end] = 0
         edge = np.flatnonzero(self.least[1:] != self.least[:-1]) + 1
-        self.first = np.concatenate([[0], edge])
-        self.last = np.append(edge, n)  # after the run's last window
-        self.value = self.least[self.first]
-        some = self.value > 0
-        self.first, self.last, self.value = self.first[some], self.last[some], self.value[some]
+        first, last = np.concatenate([[0], edge]), np.append(edge, n)  # after the run's last window
+        some = self.least[first] > 0
+        first, last = first[some], last[some]
+        # Runs longer than one suffix can serve (periodic texts) are cut, so that
+        # their first and last windows cover them.
+        most = length - SUFFIX + 1
+        times = -(-(last - first) // most)
+        of = np.repeat(np.arange(len(first)), times)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        self.first = first[of] + nth * most
+        self.last = np.minimum(self.first + most, last[of])
+        self.value, self.split = self.least[self.first], (times > 1)[of]
 
     def suffixes(self) -> np.ndarray:
-        """Hashes of indexed suffixes: those that are the least of some window."""
+        """Places of indexed suffixes: those that are the least of some window."""
         if not len(self.least):
-            return self.least
+            return np.zeros(0, np.int64)
         width = self.length - SUFFIX
         padded = np.concatenate([np.zeros(width, np.uint64), self.least, np.zeros(width, np.uint64)])
         np.invert(padded, out=padded)
         over = rounds.sliding_min(padded, width + 1)
         np.invert(over, out=over)
-        return self.grams[self.grams == over[: len(self.grams)]]
+        return np.flatnonzero(self.grams == over[: len(self.grams)])
+
+    def texts(self, places: np.ndarray) -> np.ndarray:
+        """The bytes of suffixes, as far as they are compared."""
+        return self.raw[places[:, None] + np.arange(SUFFIX)].reshape(-1).view(f"S{SUFFIX}")
 
 
 class Runs:
     """Runs of windows in a part: first, last (exclusive) and least suffix of each."""
 
     def __init__(self, part: Part, some: np.ndarray):
-        self.part, self.first, self.last, self.value = part, part.first[some], part.last[some], part.value[some]
+        self.part, self.first, self.last, self.value, self.split = part, part.first[some], part.last[some], part.value[some], part.split[some]
 
     def hulls(self) -> np.ndarray:
-        """Hashes of the phrases: all bytes that a run's windows cover."""
-        return tn.span_hash(self.part.sums, self.first, self.last - 1 + self.part.length)
+        """Hashes of the phrases: all bytes that a run's windows cover, by its first and last window."""
+        ends = tn.join2(self.part.whole[self.first], self.part.whole[self.last - 1])
+        return tn.join2(ends, (self.last - self.first).astype(np.uint64))
 
     def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of all windows of some runs."""
@@ -86,7 +96,7 @@ class Runs:
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         places = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        return places, tn.span_hash(self.part.sums, places, places + self.part.length)
+        return places, self.part.whole[places]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -107,7 +117,18 @@ class Block:
             yield Part(raw, off, self.length)
 
     def suffixes(self) -> np.ndarray:
-        return _joined([p.suffixes() for p in self.parts()])
+        """Hashes of all indexed suffixes."""
+        return _joined([p.grams[p.suffixes()] for p in self.parts()])
+
+    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the distinct indexed suffixes, their bytes, and which occur twice."""
+        hashes, texts = [], []
+        for part in self.parts():
+            at = part.suffixes()
+            hashes.append(part.grams[at])
+            texts.append(part.texts(at))
+        own, first, n = np.unique(_joined(hashes), return_index=True, return_counts=True)
+        return own, (np.concatenate(texts) if texts else np.zeros(0, f"S{SUFFIX}"))[first], n > 1
 
     def runs(self, replies: pa.Table, buckets: int) -> list[Runs]:
         """Runs whose suffix is repeated, by part."""
@@ -127,10 +148,12 @@ def _joined(arrays: list[np.ndarray]) -> np.ndarray:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: bytes, removed bytes, removed spans, hash of the rest."""
-    blocks, buckets = rounds.dealt(docs)
+    blocks, deal = rounds.dealt(docs)
+    buckets = deal.buckets
 
     def suffixes(table: pa.Table) -> pa.Table:
-        return rounds.ask_repeats(table["block"][0].as_py(), Block(table, length).suffixes(), buckets)[0]
+        own, texts, twice = Block(table, length).index()
+        return rounds.questions(table["block"][0].as_py(), own, buckets, twice, send=texts)
 
     def phrases(table: pa.Table, replies: pa.Table) -> pa.Table:
         """Ask which phrases are repeated, and which suffixes have several phrases."""
@@ -139,6 +162,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         block, whole_block = table["block"][0].as_py(), Block(table, length)
         runs = whole_block.runs(replies, buckets)
         hulls, values = _joined([r.hulls() for r in runs]), _joined([r.value for r in runs])
+        split = np.concatenate([r.split for r in runs]) if runs else np.zeros(0, dtype=bool)
         whole, _ = rounds.ask_repeats(block, hulls, buckets)
         if not len(values):
             return whole
@@ -148,6 +172,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         # A run with its suffix at several places may hold equal windows itself.
         suffix, n = np.unique(whole_block.suffixes(), return_counts=True)
         inner = n[np.searchsorted(suffix, values[order][at])] > np.diff(np.append(at, len(values)))
+        inner |= np.logical_or.reduceat(split[order], at)
         kinds = rounds.questions(block, values[order][at], buckets, inner | (least != most), least)
         shifted = pa.array(kinds["bucket"].to_numpy() + buckets)
         return pa.concat_tables([whole, kinds.set_column(1, kinds.schema.field("bucket"), shifted)])
@@ -218,7 +243,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
         return pa.table([block["doc_id"], *(pa.array(c, k) for c, k in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    first = rounds.reply_round(rounds.first_round(blocks, suffixes), lambda t: rounds.repeats(t, 1))
-    second = rounds.reply_round(rounds.next_round(blocks, first, phrases, rounds.ASK), compare)
-    third = rounds.reply_round(rounds.next_round(blocks, first.unionByName(second), windows, rounds.ASK), lambda t: rounds.repeats(t, 5))
+    first = rounds.reply_round(deal, rounds.first_round(blocks, suffixes), lambda t: rounds.repeats(t, 1, kind=f"S{SUFFIX}"))
+    second = rounds.reply_round(deal, rounds.next_round(blocks, first, phrases, rounds.ASK), compare)
+    third = rounds.reply_round(deal, rounds.next_round(blocks, first.unionByName(second), windows, rounds.ASK), lambda t: rounds.repeats(t, 5))
     return rounds.next_round(blocks, first.unionByName(second).unionByName(third), finish, SCHEMA)

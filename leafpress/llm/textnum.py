@@ -1,11 +1,13 @@
 """Vectorised words and hashes of many texts at once, on Arrow's own text buffers.
 
-Hashes are polynomials over whole 64-bit words (odd multiplier), mixed at the
-end; prefix sums give the hash of any span, so windows cost one subtraction each.
+Hashes of windows double in length: two neighbours' hashes are mixed into one by
+multiplications and shifts, so there is no sum in which parts could cancel. Two
+unlike strings share a 64-bit hash with odds of one in 2^64, whatever they hold.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +18,9 @@ SLICE_BYTES = 2_000_000
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the multiplier and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[k] = np.cumprod(row)
-    return _powers[0][:n], _powers[1][:n]
+_K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA0761D6478BD642F))
+#: Words up to so many bytes are hashed together, longer ones one by one.
+_LONG = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -42,25 +33,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Sums whose differences are the polynomials of spans."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
+def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the pair (a, b), in this order; no polynomial, so no structured text cancels out."""
+    x = a * _K1
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= _K2
+    x ^= x >> np.uint64(29)
+    x *= _K3
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    back = powers(len(sums))[1]
-    return mix64((sums[ends] - sums[starts]) * back[starts])
+def window_hash(values: np.ndarray, k: int, done: int = 1) -> np.ndarray:
+    """Hashes of all windows of ``k`` values, from those of ``done`` values, by doubling."""
+    if len(values) + done - 1 < k:
+        return np.zeros(0, dtype=np.uint64)
+    while done < k:
+        step = min(done, k - done)
+        values = join2(values[:-step], values[step:])
+        done += step
+    return values
 
 
-def window_hash(values: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all windows of ``k`` values."""
-    n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    sums = prefix(values)
-    return mix64((sums[k:] - sums[:-k]) * powers(n)[1])
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as one number, zeros after the end."""
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def byte_windows(raw: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of ``k`` >= 8 bytes."""
+    return window_hash(eights(raw)[: max(0, len(raw) - 7)], k, 8)
+
+
+def span_hash(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of a few short spans of values."""
+    out = sizes.astype(np.uint64) * _K3
+    for i in range(int(sizes.max(initial=0))):
+        some = np.flatnonzero(sizes > i)
+        out[some] = join2(out[some], values[starts[some] + i])
+    return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +121,22 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix(raw.astype(np.uint64) + np.uint64(1)), starts, ends)
+    """Hashes of byte spans: 8 bytes at a time, all spans that are long enough at once."""
+    size = ends - starts
+    eight = eights(raw)
+    out = size.astype(np.uint64) * _K3
+    some, done = np.flatnonzero(size <= _LONG), 0
+    while len(some):
+        part = eight[starts[some] + done]
+        left = size[some] - done
+        short = np.flatnonzero(left < 8)
+        part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[some] = join2(out[some], part)
+        done += 8
+        some = some[left > 8]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def counts(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
