@@ -39,7 +39,7 @@ class Part:
     def __init__(self, raw: np.ndarray, off: np.ndarray, length: int):
         self.raw, self.off, self.length = raw, off, length
         n = max(0, len(raw) - length + 1)
-        self.grams = tn.byte_windows(raw, SUFFIX)
+        self.grams = np.maximum(tn.byte_windows(raw, SUFFIX), np.uint64(1))  # 0 marks windows without one
         self.whole = tn.window_hash(self.grams, length, SUFFIX)
         if not n:
             self.least = np.zeros(0, np.uint64)

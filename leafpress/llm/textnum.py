@@ -35,7 +35,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the pair (a, b), in this order; no polynomial, so no structured text cancels out."""
-    x = a * _K1
+    x = (a ^ _K2) * _K1
     x ^= x >> np.uint64(32)
     x += b
     x *= _K2
