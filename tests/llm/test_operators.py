@@ -193,19 +193,6 @@ def test_held_out_scores_beat_the_base(spark, sf):
     assert rows[0] > rows[1]
 
 
-def test_trie_and_elias_fano(tmp_path):
-    r = np.random.default_rng(2)
-    values = np.sort(r.integers(0, 100_000, 5000))
-    assert (language_model.EliasFano(str(tmp_path), "v", values).values() == values).all()
-    pairs = np.unique(r.integers(0, 50, (400, 2)), axis=0)
-    p, words, back = -r.random(len(pairs)) * 5, -r.random(50) * 5, -r.random(50)
-    trie = language_model.Trie(str(tmp_path), 50, pairs[:, 0], pairs[:, 1], p, words, back)
-    known = {tuple(k): v for k, v in zip(pairs.tolist(), p)}
-    c, w = np.divmod(np.arange(2500), 50)
-    want = [known.get((a, b), words[b] + back[a]) for a, b in zip(c, w)]
-    assert np.abs(trie.scores(c, w) - want).max() < 2 / language_model.STEPS
-
-
 def test_language_model_odd_and_empty(odd, empty):
     rows = language_model.score(odd).collect()
     assert len(rows) == odd.count() and all(r["held_out"] for r in rows if r["doc_id"] is None)
