@@ -202,8 +202,10 @@ def first_round(blocks: DataFrame, ask: Callable[[pa.Table], pa.Table]) -> DataF
     return blocks.groupBy("block").applyInArrow(ask, ASK)
 
 
-def reply_round(deal: Deal, asked: DataFrame, reply: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return deal.by(deal.by(asked, "bucket").groupBy("bucket").applyInArrow(reply, ANSWER), "block")
+def reply_round(deal: Deal, asked: DataFrame, reply: Callable[[pa.Table], pa.Table], more: DataFrame | None = None) -> DataFrame:
+    """Replies, and ``more`` rows of that kind, dealt to their blocks."""
+    replies = deal.by(asked, "bucket").groupBy("bucket").applyInArrow(reply, ANSWER)
+    return deal.by(replies if more is None else replies.unionByName(more), "block")
 
 
 def next_round(blocks: DataFrame, replies: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
