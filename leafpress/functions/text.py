@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafpress.functions import fixed
+from leafpress.functions.common import common_bytes
 
 _SPACE = r"\s\p{Z}\u0085"
 
@@ -135,8 +137,27 @@ def bare_url(url: Column) -> Column:
     return F.regexp_replace(url, r"^(https?://|www\.)+", "")
 
 
-def url_is_pdf(url: Column) -> Column:
-    return F.lower(F.regexp_replace(url, r"[?#].*\z", "")).endswith(".pdf")
+def url_is_pdf(url: Column, downloads: tuple[str, ...] = ()) -> Column:
+    """A url that ends in ``.pdf`` as written, a preprint server's, or one that matches a download pattern."""
+    out = url.endswith(".pdf") | F.contains(url, F.lit("arxiv.org/pdf"))
+    for pattern in downloads:
+        out = out | F.rlike(url, F.lit(pattern))
+    return out
+
+
+def url_is_own_pdf(url: Column, stores: tuple[str, ...], downloads: tuple[str, ...]) -> Column:
+    """A url of one's own file stores (parts of a url) or download services (patterns)."""
+    out = F.lit(False)
+    for part in stores:
+        out = out | F.contains(url, F.lit(part))
+    for pattern in downloads:
+        out = out | F.rlike(url, F.lit(pattern))
+    return out
+
+
+def is_stored_image(url: Column, store: str) -> Column:
+    """An image that lies in one's own store already."""
+    return F.coalesce(F.contains(url, F.lit(store)), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())
@@ -149,35 +170,40 @@ def short_hash(value: pd.Series, key: pd.Series) -> pd.Series:
 def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common substring (of bytes, the first of equals)."""
 
-    def one(x: str | None, y: str | None) -> str | None:
-        if x is None or y is None:
-            return None
-        p, q, best, end = x.encode(), y.encode(), 0, 0
-        row = [0] * (len(q) + 1)
-        for i, c in enumerate(p):
-            before = 0
-            for j, d in enumerate(q):
-                keep = row[j + 1]
-                row[j + 1] = before + 1 if c == d else 0
-                if row[j + 1] > best:
-                    best, end = row[j + 1], i + 1
-                before = keep
-        return p[end - best : end].decode("utf-8", "ignore")
+    return pd.Series([None if x is None or y is None else common_bytes(x.encode(), y.encode()).decode("utf-8", "ignore") for x, y in zip(a, b)], dtype=object)
+
+
+def common_in_full(full: Column, part: Column) -> Column:
+    """The longest common text of two cleaned texts, read off the first as it was before cleaning."""
+    bare = clean_text(full)
+
+    def read(common: Column) -> Column:
+        at = F.greatest(F.instr(bare, common), F.lit(1))
+        return F.when(common == "", F.lit("")).otherwise(F.substring(full, at, F.char_length(common)))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
+    return let(longest_common(bare, clean_text(part)), read)
 
 
 def replace_links(c: Column, links: Column) -> Column:
-    """Replace a map's keys by its values, longer keys first."""
-    order = F.array_sort(F.transform(F.map_entries(links), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"].alias("v"))))
-    return F.aggregate(order, c, lambda a, e: F.replace(a, e["k"], e["v"]))
+    """Replace a map's keys by its values in one pass, longer keys first; an empty value leaves its key."""
+    quoted = lambda k: F.concat(F.lit("\\Q"), F.replace(k, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    keys = F.filter(F.map_keys(links), lambda k: k != "")
+    order = F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))
+
+    def replaced(pattern: Column) -> Column:
+        between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, pattern, F.lit(0))
+        new = F.transform(found, lambda m: F.coalesce(F.nullif(F.try_element_at(links, m), F.lit("")), m))
+        return F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    pattern = F.array_join(F.transform(order, lambda e: quoted(e["k"])), "|")
+    return F.when(F.size(keys) <= 0, c).when(c == "", c).otherwise(let(pattern, replaced))
 
 
 def trim_left_common(c: Column, cut: Column) -> Column:
     """``c`` without the characters in front that it shares with ``cut``."""
-    n = F.least(F.length(c), F.length(cut))
-    same = F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(c, F.lit(1), i) == F.substring(cut, F.lit(1), i))
-    return F.substring(c, F.array_max(same) + 1, F.length(c))
+    points = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    same = F.zip_with(points(c), points(F.substring(cut, F.lit(1), F.length(c))), lambda a, b: a.eqNullSafe(b))
+    return let(F.array_position(same, False), lambda at: F.when(at == 0, F.lit("")).otherwise(F.substring(c, at.cast("int"), F.length(c))))
 
 
 def has_prefix(c: Column, prefixes: Column) -> Column:
@@ -212,6 +238,18 @@ def first_line(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(1)), c)
 
 
+_FIELDS = {"yyyy": r"\d{4}", "yy": r"\d\d", "MMMM": "[A-Z][a-z]{2,8}", "MMM": "[A-Z][a-z]{2}", "MM": r"\d\d", "M": r"\d{1,2}", "dd": r"\d\d", "d": r"\d{1,2}", "HH": r"\d\d", "H": r"\d{1,2}", "hh": r"\d\d", "h": r"\d{1,2}", "mm": r"\d\d", "ss": r"\d\d", "a": "[AP]M"}
+
+
+def _shape(layout: str) -> str:
+    """A pattern of the texts that can be in a layout."""
+    out = ""
+    for m in re.finditer(r"''|'[^']*'|([a-zA-Z])\1*|.", layout):
+        part = m[0]
+        out += "'" if part == "''" else re.escape(part[1:-1]) if part[0] == "'" else _FIELDS.get(part) or re.escape(part)
+    return rf"^{out}\z"
+
+
 def _parsed(c: Column) -> Column:
     """Normal form of a text in one of the layouts, or null."""
     c = F.regexp_replace(c, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +", "")
@@ -219,8 +257,12 @@ def _parsed(c: Column) -> Column:
     c = F.regexp_replace(c, r"([A-Z][a-z]{2,8})  +(\d)", "$1 $2")
     c = F.regexp_replace(c, r"^([A-Z][a-z]{2} \d{1,2} \d\d:\d\d:\d\d) [A-Z]{3,4} (\d{4})\z", "$1 $2")
     c = F.regexp_replace(c, r"^([A-Z][a-z]{2} \d{1,2} \d\d:\d\d:\d\d) [+-]\d{4} (\d{4})\z", "$1 $2")
-    when = F.coalesce(*(F.try_to_timestamp(c, F.lit(p)) for p in fixed.TIME_LAYOUTS))
-    text = F.date_format(when, "yyyy-MM-dd HH:mm:ss")
+    c = F.regexp_replace(c, r"(:\d\d)\.\d+\z", "$1")
+    # A layout is tried only on texts of its shape: a text that fails to parse costs an exception.
+    read = lambda p, t=c: F.when(F.rlike(c, F.lit(_shape(p.removeprefix("yyyy~")))), F.try_to_timestamp(t, F.lit(p.replace("~", " "))))
+    when = F.coalesce(*(read(p) for p in fixed.TIME_LAYOUTS))
+    yearless = F.coalesce(*(read(f"yyyy~{p}", F.concat(F.lit("2000 "), c)) for p in fixed.YEARLESS_LAYOUTS))
+    text = F.coalesce(F.date_format(when, "yyyy-MM-dd HH:mm:ss"), F.date_format(yearless, "'0000'-MM-dd HH:mm:ss"))
     return text_trim(F.regexp_replace(F.regexp_replace(text, r":00\z", ""), r"00:00\z", ""))
 
 
@@ -250,7 +292,7 @@ def worth_404(title: Column, text: Column) -> Column:
         hits = F.size(F.filter(group, lambda w: F.contains(text, w)))
         return (hits >= F.lit(fixed.WORTHLESS_RATIO) * F.size(group)) | (hits + 1 == F.size(group))
 
-    named = F.rlike(title, F.lit("|".join(fixed.WORTHLESS_TITLES)))
+    named = F.rlike(clean_text(title), F.lit("|".join(fixed.WORTHLESS_TITLES)))
     return (F.char_length(text) < fixed.WORTHLESS_CHARS) & (named | F.exists(groups, fires))
 
 
@@ -272,8 +314,10 @@ def attr_filter(attrs: Column) -> Column:
 
 def tiny_noise(c: Column, rules: list[tuple[str, int]] | None = None) -> Column:
     """Whether a text is a small notice: a phrase occurs and the text is no longer than its limit."""
-    table = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(n).alias("most")) for p, n in rules or fixed.TINY_NOISE))
-    return F.exists(table, lambda r: F.contains(c, r["phrase"]) & (F.char_length(c) <= r["most"]))
+    rules = rules or fixed.TINY_NOISE
+    table = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(n).alias("most")) for p, n in rules))
+    some = F.rlike(c, F.lit("|".join(f"\\Q{p}\\E" for p, _ in rules)))  # one pass tells most texts off
+    return (F.char_length(c) <= max(n for _, n in rules)) & some & F.exists(table, lambda r: F.contains(c, r["phrase"]) & (F.char_length(c) <= r["most"]))
 
 
 def kept_attrs(attrs: Column, mark: str = "leaf") -> Column:

@@ -293,22 +293,21 @@ def address(root: Node, first: int = 1) -> int:
 
 def serialise(node: Node, tail: bool = False) -> str:
     out: list[str] = []
-
-    def put(n: Node) -> None:
+    todo: list[Node | str] = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
         attrs = "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items())
+        after = escape(n.tail, quote=False) if n is not node or tail else ""
         if n.tag in VOID and not n.children and not n.text:
-            out.append(f"<{n.tag}{attrs} />")
+            out.append(f"<{n.tag}{attrs} />{after}")
         else:
             out.append(f"<{n.tag}{attrs}>")
             out.append(n.text if n.tag in ("script", "style") else escape(n.text, quote=False))
-            for c in n.children:
-                put(c)
-                out.append(escape(c.tail, quote=False))
-            out.append(f"</{n.tag}>")
-
-    put(node)
-    if tail:
-        out.append(escape(node.tail, quote=False))
+            todo.append(f"</{n.tag}>{after}")
+            todo += n.children[::-1]
     return "".join(out)
 
 
@@ -320,18 +319,19 @@ def prune(root: Node, useless: list[str], absolute: Callable[[str], str]) -> lis
     """Drop hidden, useless and navigation elements; the style and formula nodes saved on the way."""
     saved: list[Node] = []
 
-    def visit(node: Node) -> None:
+    def visit(node: Node) -> list[Node]:
+        """The children that stay to be looked at."""
         style = node.attrs.get("style", "")
         if node.attrs.get("aria-hidden") == "true":
             if node.tag != "svg":
                 node.remove()
-            return
+            return []
         if "display: none" in style or "display:none" in style:
             node.remove()
-            return
+            return []
         if node.tag == "iframe":
             node.children, node.text = [], ""
-            return
+            return []
         if node.tag in useless:
             formula = node.tag == "script" and "math" in node.attrs.get("src", "")
             if formula or node.tag == "style":
@@ -341,13 +341,14 @@ def prune(root: Node, useless: list[str], absolute: Callable[[str], str]) -> lis
                     copy.attrs["href"] = absolute(copy.attrs["href"])
                 saved.append(copy)
             node.remove()
-            return
+            return []
         if node.attrs.get("class") in ("nav", "footer", "header"):
             node.remove()
-            return
+            return []
         node.attrs = {k: v for k, v in node.attrs.items() if _NAME.match(k) and not _NUMBER.match(k)}
-        for child in list(node.children):
-            visit(child)
+        return node.children[::-1]
 
-    visit(root)
+    todo = [root]
+    while todo:
+        todo += visit(todo.pop())
     return saved

@@ -9,14 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from urllib.parse import parse_qs, urljoin, urlsplit
+from urllib.parse import SplitResult, parse_qs, urljoin, urlsplit
 
 from leafpress.functions import fixed
+from leafpress.functions.common import common_bytes
 from leafpress.operators import sentences, xpath
 from leafpress.operators.htmltree import Node, address, parse, prune, serialise
 
 MARK = "data-leaf-"
-VNODE = "dplv-"
+VNODE = "leaf-"
 _CLEAN = [(re.compile(p), into) for p, into in fixed.CLEAN_CHAIN]
 _SKIP = frozenset("script style noscript iframe object".split())
 _TEXT_ATTR = re.compile(r"^(\s|·)*|(\s|·)*\Z")
@@ -63,6 +64,14 @@ def absolute(link: str, url: str) -> str:
         return link
 
 
+def _split(url: str) -> SplitResult:
+    """The parts of a url; empty ones if it is none."""
+    try:
+        return urlsplit(url)
+    except ValueError:
+        return urlsplit("")
+
+
 def size(text: str) -> int:
     return len(text.encode())
 
@@ -87,14 +96,14 @@ def _block_text(top: Node) -> str:
         return ""
     lines = [] if _unseen(top) or not top.text.strip() else [top.text.strip()]
     waiting: list[Node] = []
-    shut: list[str] = []
+    shut: tuple[str, ...] = ()
     for node in top.below():
         while waiting and not node.xpath.startswith(waiting[-1].xpath):
             lines.append(waiting.pop().tail.strip())
-        if any(node.xpath.startswith(p) for p in shut):
+        if node.xpath.startswith(shut):
             continue
         if _unseen(node):
-            shut.append(node.xpath)
+            shut += (node.xpath,)
         elif node.text.strip():
             lines.append(node.text.strip())
         if node.tail.strip():
@@ -229,7 +238,7 @@ class Page:
         return out
 
     def author_meta(self) -> dict[str, str]:
-        uid = parse_qs(urlsplit(self.metas().get("og:url", "")).query).get("__biz", [""])[0]
+        uid = parse_qs(_split(self.metas().get("og:url", "")).query).get("__biz", [""])[0]
         get = lambda p: m[1] if (m := re.search(p, self.html)) else ""
         return {"name": self.author(), "profile_url": get(fixed.PROFILE_IMG), "description": get(fixed.AUTHOR_DESCRIPTION).strip(), "uid": uid or get(fixed.AUTHOR_ID)}
 
@@ -240,10 +249,9 @@ class Page:
         if self.rule and self.rule.pub_time and (got := self.by_xpath(self.rule.pub_time).strip()):
             return got
         metas = self.find("//meta")
-        for attr, start in fixed.TIME_META:
-            for n in metas:
-                if n.attrs.get(attr, "").startswith(start) and n.attrs.get("content"):
-                    return n.attrs["content"].strip()
+        tagged = next((n.attrs["content"] for attr, start in fixed.TIME_META for n in metas if n.attrs.get(attr, "").startswith(start) and n.attrs.get("content")), "")
+        if tagged.strip():  # a blank one leaves the time to the patterns
+            return tagged.strip()
         if m := re.search(fixed.CREATE_TIME, self.html):
             return m[1].strip()
         for pattern in _TIMES:
@@ -254,7 +262,7 @@ class Page:
     def icon(self) -> str:
         links = self.find("//link")
         if not links:
-            return f"https://{urlsplit(self.url).netloc}/favicon.ico"
+            return f"https://{_split(self.url).netloc}/favicon.ico"
         for n in links:
             if n.attrs.get("rel", "").lower() in ("icon", "shortcut icon") and n.attrs.get("href"):
                 return absolute(n.attrs["href"], self.url)
@@ -311,7 +319,7 @@ class Page:
     def tiny_noise(self) -> None:
         nodes = sorted(self.root.all(), key=lambda n: n.xpath)
         first = {id(n): n.text or next((c.tail for c in n.children if c.tail), "") for n in nodes}
-        held = {id(n) for n in nodes if any(p in first[id(n)] for p in _PHRASES)}
+        held = {id(n) for n in nodes if _PHRASES.search(first[id(n)])}
         nodes = [n for n in nodes if id(n) in held]
         for phrase, most in fixed.TINY_NOISE if nodes else ():
             for n in nodes:
@@ -370,17 +378,16 @@ class Page:
             self._rename()
 
     def empty_tags(self) -> None:
-        def visit(n: Node) -> None:
+        todo = [self.root]
+        while todo:
+            n = todo.pop()
             if n.tag in ("img", "svg", "video"):
-                return
+                continue
             if n is self.root or clean(raw_text(n)) or has_media(n):
-                for c in list(n.children):
-                    visit(c)
+                todo += n.children[::-1]
             else:
                 n.remove()
 
-        visit(self.root)
-
     def beyond_canvas(self, sents: list[dict]) -> None:
         if not sents:
             return
@@ -406,16 +413,16 @@ class Page:
             out.append(atom(title, 0, path, segment=0))
         page_size = size(raw_text(self.root))
         waiting: list[dict] = []
-        shut: list[str] = []
+        shut: tuple[str, ...] = ()
         for n in list(self.root.below()):
             while waiting and not n.xpath.startswith(waiting[-1]["xpath"]):
                 out.append(waiting.pop())
-            if any(n.xpath.startswith(p) for p in shut):
+            if n.xpath.startswith(shut):
                 continue
             special = self._special(n, segments, page_size)
             if special is not None:
                 out += special
-                shut.append(n.xpath)
+                shut += (n.xpath,)
             elif n.text.strip():
                 out.append(atom(n.text, n.pid, n.xpath, segment=_segment(segments, n.xpath)))
             if n.tail.strip():
@@ -558,14 +565,14 @@ class Page:
             self._gather(list({id(n): n for n in picked}.values()), mark)
 
     def _holder(self, nodes: list[Node], low: float, high: float) -> Node | None:
-        """The first ancestor whose text is about that of the nodes."""
-        bare = lambda t: len(re.sub(r"\s+", "", t))
-        want, n = sum(bare(x.text) for x in nodes), nodes[0]
+        """The first ancestor of which the nodes' texts are about the whole text, in bytes."""
+        bare = lambda t: size(_BLANKS.sub("", t))
+        want, n = sum(bare(raw_text(x)) for x in nodes), nodes[0].parent
         while n is not None:
-            ratio = share(bare(raw_text(n)), want)
-            if low <= ratio <= high and all(_under(x, n) for x in nodes):
+            ratio = share(want, bare(raw_text(n)))
+            if low <= ratio <= high:
                 return n
-            if ratio > high:
+            if ratio < 0.9:
                 return None
             n = n.parent
         return None
@@ -588,6 +595,47 @@ class Page:
                 if x.tag in ("p", "div", "ul"):
                     x.tag = "span"
 
+    def tier_headings(self) -> None:
+        """Number the levels of the headings that there are from 1, without gaps."""
+        heads = [n for n in self.root.all() if n.tag in _HEADINGS]
+        level = {tag: f"h{i}" for i, tag in enumerate(sorted({n.tag for n in heads}), 1)}
+        for n in heads:
+            n.tag = level[n.tag]
+
+    def styles(self) -> None:
+        """Items of marked introductions flow with their text; sites that need it get a style of their own."""
+        for n in self.root.all():
+            up = n.parent
+            if up is None or up.tag != "li":
+                continue
+            while up is not None and MARK + "intro" not in up.attrs:
+                up = up.parent
+            if up is not None:
+                n.attrs["style"] = n.attrs.get("style", "") + "; display: contents;"
+        for host, style in fixed.SITE_STYLES.items():
+            if host in self.url:
+                self.root.add(Node("style")).text = style
+
+    def restore(self) -> None:
+        """The style and formula elements saved while pruning, back in the head."""
+        head = next((n for n in self.root.all() if n.tag == "head"), None)
+        if head is None:
+            head = Node("head")
+            head.parent = self.root
+            self.root.children.insert(0, head)
+        for n in self.saved:
+            head.add(n)
+
+    def title_by_headings(self) -> str:
+        """The longest part of the title that a heading repeats, if that is most of it; else the title."""
+        title = self.by_xpath("//title").strip()
+        found = ""
+        for n in self.find(" | ".join(f"//h{i}" for i in range(1, 7))) if title else ():
+            part = common_part(title, raw_text(n))
+            if size(part) > size(found):
+                found = part
+        return found if title and share(size(found), size(title)) >= fixed.TITLE_RATIO else title
+
     def images(self) -> list[str]:
         return [v for n in self.root.all() if n.tag == "img" for k in fixed.IMAGE_ATTRS if (v := n.attrs.get(k, "")).startswith("http")]
 
@@ -620,6 +668,14 @@ def meta_nodes(meta: dict) -> list[Node]:
     return [metas[0], metas[1], icon, metas[2], metas[3], title]
 
 
+def common_part(full: str, part: str) -> str:
+    """The longest common text of two cleaned texts, read off the first as it was before cleaning."""
+    bare = clean(full)
+    common = common_bytes(bare.encode(), clean(part).encode()).decode("utf-8", "ignore")
+    at = bare.find(common)
+    return full[at : at + len(common)]
+
+
 def _under(n: Node | None, top: Node) -> bool:
     while n is not None:
         if n is top:
@@ -634,12 +690,16 @@ def _segment(segments: dict[str, int], path: str) -> int:
 
 _DEPTH = re.compile(rf"(.*/({'|'.join(fixed.PARAGRAPH_TAGS)})(\[\d+\])?)(/.*)?\Z", re.S)
 _TIMES = [re.compile(p, re.A) for p in fixed.TIME_PATTERNS]
-_PHRASES = {p for p, _ in fixed.TINY_NOISE}
+_PHRASES = re.compile("|".join(re.escape(p) for p, _ in fixed.TINY_NOISE))
 _AUTHOR = re.compile(
     "(" + "|".join(rf"{k[0]}\s{{0,1}}{k[1]}" if len(k) == 2 else k for k in fixed.AUTHOR_KEYWORDS) + ")\\s*[：|:| |丨|/]\\s*([一-龥a-zA-Z]{2,20})[^一-龥|:|：]*"
 )
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BLANKS = re.compile("[\t\n\f\r \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+")
+
+
 def depth(path: str) -> str:
     return _DEPTH.sub(r"\1", path)
 

@@ -62,15 +62,16 @@ def pick_rules(pages: DataFrame, rules: DataFrame, group: int = PROD_ONLY) -> Da
     return pages.join(best, "url", "left").join(live, "_host", "left").withColumnRenamed("_host", "rule_host")
 
 
-def rule_list(rules: DataFrame, search: str = "") -> DataFrame:
+def rule_list(rules: DataFrame, search: str = "", order_by: str = "") -> DataFrame:
     """Valid rules whose name or host holds the text, else those that match it as a url;
-    hosts with a rule in testing come first."""
+    hosts with a rule in testing come first, then by host or, newest first, by
+    ``-update_time`` or ``-create_time``."""
     live = rules.filter(F.col("status") == VALID)
     if search:
         named = live.filter(F.contains("host_name", F.lit(search)) | F.contains("host", F.lit(search)))
         live = named if named.limit(1).count() else live.filter(matches(F.lit(search), F.col("host")))
     editing = F.max((F.col("stage") == TESTING).cast("int")).over(Window.partitionBy("host"))
-    return live.withColumn("editing", editing).orderBy(F.desc("editing"), "host", "stage")
+    return live.withColumn("editing", editing).orderBy(F.desc("editing"), *([F.desc(order_by[1:])] if order_by in ("-update_time", "-create_time") else []), "host", "stage")
 
 
 def rule_detail(rules: DataFrame, host: str, stage: int) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafpress.functions import fixed
 from leafpress.functions import text as X
 from leafpress.operators import windows as W
 from leafpress.plans import pages as P
@@ -41,13 +42,14 @@ def dom_nodes(spark, d):
     return nodes.select("page_id", inside("p").cast("double").alias("paragraphs"), inside("article").alias("articles"))
 
 
-@query("SELECT page_id, 0 AS useless, TRUE AS numbered, TRUE AS nested FROM pages")
+@query("""SELECT p_partkey, 'html1-' || n || ' head2-2 body3-' || n || ' div4-' || (n - 1) || ' ' || array_to_string(list_transform(generate_series(5, n - 1), lambda i: 'p' || i || '-' || i), ' ') || ' iframe' || n || '-' || n AS tree
+FROM (SELECT p_partkey, p_size % 4 + 6 AS n FROM part)""")
 def preprocess_prune(spark, d):
-    nodes = P.dom_nodes(table(spark, d, "pages").select("page_id", "url", "html"))
-    useless = F.size(F.filter("nodes", lambda n: n["tag"].isin("nav", "script", "style", "footer", "header", "noscript")))
-    numbered = F.transform("nodes", lambda n: n["pid"]) == F.sequence(F.lit(1), F.size("nodes"))
-    nested = F.forall("nodes", lambda n: (n["parent"] < n["pid"]) & (n["last_pid"] >= n["pid"]) & (n["last_pid"] <= F.size("nodes")))
-    return nodes.select("page_id", useless.alias("useless"), numbered.alias("numbered"), nested.alias("nested"))
+    """What pruning leaves, with the numbers of each element and of the last one in it."""
+    paragraphs = F.repeat(F.lit("<p>x</p><button>b</button><div aria-hidden='true'>h</div>"), (F.col("p_size") % 4 + 1).cast("int"))
+    html = F.concat(F.lit("<nav>n</nav><div>"), paragraphs, F.lit("<script>s</script><p style='display: none'>d</p></div><footer>f</footer><div class='header'>h</div><iframe>i</iframe><style>y</style>"))
+    nodes = P.dom_nodes(built(spark, d, "part", "p_partkey", html))
+    return nodes.select("p_partkey", F.array_join(F.transform("nodes", lambda n: F.concat(n["tag"], n["pid"].cast("string"), F.lit("-"), n["last_pid"].cast("string"))), " ").alias("tree"))
 
 
 def _list() -> Column:
@@ -238,28 +240,52 @@ def video_nodes(spark, d):
     return rows.select("p_partkey", (~F.exists("sentences", lambda s: F.contains(s["text"], F.lit("inside")))).alias("video"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') <> '' AS first_heading, TRUE AS ordered FROM pages")
+def _runs_of_text() -> Column:
+    """Paragraphs of text, bold text and a tail."""
+    n = (F.col("p_size") % 4 + 1).cast("int")
+    return F.concat(F.lit("<body><div>"), F.repeat(F.concat(F.lit("<p>"), F.col("p_brand"), F.lit("<b>bold</b>tail</p>")), n), F.lit("</div><h2>end</h2></body>"))
+
+
+def _atoms(spark, d) -> DataFrame:
+    rows = P.page_map(built(spark, d, "part", "p_partkey", _runs_of_text()), lambda r: {"atoms": P._page(r).atoms()}, f"atoms array<{P.ATOM}>", ("html",))
+    return rows.select("p_partkey", F.posexplode("atoms").alias("place", "a")).select("p_partkey", "place", "a.*")
+
+
+#: The atoms of these pages, counted from 0: three a paragraph, then the heading.
+_ATOMS = "(SELECT p_partkey, p_brand, n, unnest(generate_series(0, 3 * n)) AS place FROM (SELECT p_partkey, p_brand, p_size % 4 + 1 AS n FROM part))"
+_PATH = "CASE WHEN place = 3 * n THEN '/html/body/h2' ELSE '/html/body/div/p' || CASE WHEN n > 1 THEN '[' || (place // 3 + 1) || ']' ELSE '' END || CASE WHEN place % 3 = 0 THEN '' ELSE '/b' END END"
+
+
+@query(f"""SELECT p_partkey, place::INT AS place, CASE WHEN place = 3 * n THEN 'end' WHEN place % 3 = 0 THEN p_brand WHEN place % 3 = 1 THEN 'bold' ELSE 'tail' END AS text, {_PATH} AS xpath, place < 3 * n AND place % 3 = 2 AS tail, (place // 3 + 1)::INT AS segment_id FROM {_ATOMS}""")
 def atoms(spark, d):
-    rows = P.segment(table(spark, d, "pages").select("page_id", "url", "html"))
-    flat = F.flatten(F.transform("sentences", lambda s: s["atoms"]))
-    inner = F.filter(F.transform(flat, lambda a: a["position_id"]), lambda p: p > 0)
-    return rows.select("page_id", F.exists(flat, lambda a: F.contains(a["xpath"], F.lit("/h1"))).alias("first_heading"), (F.array_sort(inner) == inner).alias("ordered"))
+    return _atoms(spark, d).select("p_partkey", "place", "text", "xpath", "tail", "segment_id")
 
 
-@query("SELECT event_id, run FROM (SELECT event_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))")
+@query(f"SELECT p_partkey, place::INT AS place, (place // 3 + 1)::BIGINT AS run FROM {_ATOMS}")
 def paragraphs(spark, d):
-    return W.runs(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).select("event_id", "run")
+    """Atoms in runs of one paragraph element."""
+    rows = _atoms(spark, d).withColumn("paragraph", X.pdepth(F.col("xpath")))
+    return W.runs(rows, ["p_partkey"], ["place"], ["paragraph"]).select("p_partkey", "place", "run")
 
 
-@query("SELECT event_id, run FROM (SELECT event_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR lag(value > 50) OVER w IS DISTINCT FROM (value > 50) OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))")
+@query(f"SELECT p_partkey, place::INT AS place, (place + 1)::BIGINT AS run FROM {_ATOMS}")
 def atom_windows(spark, d):
-    events = table(spark, d, "events").withColumn("tail", F.col("value") > 50)
-    return W.runs(events, ["user_id"], ["ts", "event_id"], ["event_type", "tail"]).select("event_id", "run")
+    """Atoms in runs of one element and side of it: here each is alone."""
+    return W.runs(_atoms(spark, d), ["p_partkey"], ["place"], ["xpath", "tail"]).select("p_partkey", "place", "run")
 
 
-@query("SELECT user_id, event_type, run, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL")
+@query("SELECT s_suppkey, '0-1 3-' || (3 + s_suppkey % 3) || ' ' || (s_suppkey % 3 + 5) || '-' || (s_suppkey % 3 + 5) AS windows FROM supplier")
 def label_windows(spark, d):
-    return W.runs(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).groupBy("user_id", "event_type", "run").agg(F.count(F.lit(1)).alias("n"))
+    """Runs of sentences under one label that makes a subtree."""
+
+    def run(row):
+        from leafpress.operators.page import label_windows, sentence
+
+        labels = ["abstract"] * 2 + ["content"] + ["introduction"] * (row["s_suppkey"] % 3 + 1) + ["O", "abstract"]
+        sents = [sentence([]) | {"label": x, "segment_id": i, "at": i} for i, x in enumerate(labels)]
+        return {"windows": " ".join(f"{w[0]['at']}-{w[-1]['at']}" for w in label_windows(sents))}
+
+    return P.page_map(table(spark, d, "supplier").select("s_suppkey"), run, "windows string")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k = 1 OR before IS DISTINCT FROM event_type")
@@ -280,14 +306,8 @@ def interval_lookup(spark, d):
     return W.interval_lookup(points, spans, ["o_orderkey"], "at", "a", "b").select("o_orderkey", "l_linenumber")
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(left(text, 2000), '[^.\n]*(\.|\n)+'), lambda x: trim(x) <> '')) AS cut FROM documents")
-def sentences_stop_sign(spark, d):
-    cut = F.filter(F.regexp_extract_all(F.substring("text", 1, 2000), F.lit(r"[^.\n]*(\.|\n)+"), F.lit(0)), lambda x: F.trim(x) != "")
-    return table(spark, d, "documents").select("doc_id", F.size(cut).cast("bigint").alias("cut"))
-
-
 @query()
-def sentences_stop_sign_whole(spark, d):
+def sentences_stop_sign(spark, d):
     """Sentences of whole texts by the sentence operator, blank ones left out."""
 
     def run(row):
@@ -299,17 +319,20 @@ def sentences_stop_sign_whole(spark, d):
     return P.page_map(table(spark, d, "documents").select("doc_id", "text"), run, "cut bigint", ("text",))
 
 
-@query("SELECT doc_id, text AS joined FROM documents")
+@query("""SELECT p_partkey, array_to_string(list_transform(generate_series(0, p_size % 5), lambda i: 'Part ' || i || ' of it' || (['.', '!', '?'])[(i % 3 + 1)::INT]), '|') || '|' || array_to_string(list_transform(generate_series(0, p_size % 4), lambda i: '第' || i || '句。'), '|') AS cut FROM part""")
 def sentence_cut(spark, d):
-    """Sentences are contiguous: joined again they are the text."""
+    """Sentences between stops of two scripts."""
+    some = lambda n, f: F.transform(F.sequence(F.lit(0), (F.col("p_size") % n).cast("int")), f)
+    english = some(5, lambda i: F.concat(F.lit("Part "), i.cast("string"), F.lit(" of it"), F.element_at(X.literals([".", "!", "?"]), i % 3 + 1)))
+    chinese = some(4, lambda i: F.concat(F.lit("第"), i.cast("string"), F.lit("句。")))
 
     def run(row):
         from leafpress.operators.sentences import cut
 
-        return {"joined": "".join(row["html"][a:b] for a, b in cut(row["html"]))}
+        return {"cut": "|".join(row["text"][a:b].strip() for a, b in cut(row["text"]))}
 
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("html"))
-    return P.page_map(rows, run, "joined string", ("html",))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.array_join(english, " "), F.lit(" "), F.array_join(chinese, "")).alias("text"))
+    return P.page_map(rows, run, "cut string", ("text",))
 
 
 @query()
@@ -336,10 +359,13 @@ def label_rules(spark, d):
     return out.select("s_suppkey", has("noise").alias("noise"), has("body words").alias("body"), has('data-leaf-h1="1"').alias("heading"), "worth_type")
 
 
-@query("SELECT s_suppkey, 'from somewhere' AS content_source, 5 AS labels FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'from ' || s_name ELSE '' END AS content_source FROM supplier")
 def content_source(spark, d):
-    out = P.recover_meta(_labelled(spark, d))
-    return out.select("s_suppkey", "meta.content_source", F.size("sentences").alias("labels"))
+    """The text of the first sentence that is labelled as the source, if there is one."""
+    html = F.concat(F.lit("<body><p>body words</p>"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("<p>from "), F.col("s_name"), F.lit("</p><p>from a later one</p>"))).otherwise("<p>none</p>"), F.lit("</body>"))
+    give = lambda s: F.when(s["text"].startswith("from"), "source").otherwise("content")
+    out = P.recover_meta(P.label(P.segment(built(spark, d, "supplier", "s_suppkey", html)), give))
+    return out.select("s_suppkey", "meta.content_source")
 
 
 @query("SELECT s_suppkey, 'Head' AS title, 'A' || s_suppkey AS author, 'from somewhere' AS content_source FROM supplier")
@@ -348,27 +374,110 @@ def recover_meta(spark, d):
     return P.recover_meta(rows, "model").select("s_suppkey", "meta.title", "meta.author", "meta.content_source")
 
 
-@query("SELECT s_suppkey, 5 AS asked, 'O' AS label FROM supplier")
+@query("""SELECT s_suppkey, '{"url":"https://site.example/a/b.html","infos":[{"position":0,"text":"Head","segment_id":0,"tags":[],"label":"O"},{"position":1,"text":"noise ' || s_name || '","segment_id":1,"tags":[],"label":"O"}]}' AS request FROM supplier""")
 def label_request(spark, d):
-    rows = P.label_request(_labelled(spark, d))
-    asked = F.from_json("request", "url string, infos array<struct<position:int,text:string,label:string>>")
-    return rows.select("s_suppkey", F.size(asked["infos"]).alias("asked"), asked["infos"][0]["label"].alias("label"))
+    html = F.concat(F.lit("<title>Head</title><p>noise "), F.col("s_name"), F.lit("</p>"))
+    return P.label_request(P.segment(built(spark, d, "supplier", "s_suppkey", html))).select("s_suppkey", "request")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'label service: no answer' WHEN s_suppkey % 5 = 1 THEN 'label service: bad request' WHEN s_suppkey % 5 = 2 THEN 'label service: code 77' END AS error,
+  CASE WHEN s_suppkey % 5 < 3 THEN ',' WHEN s_suppkey % 5 = 3 THEN 'article_title,content' ELSE 'article_title,O' END AS labels FROM supplier""")
+def label_service(spark, d):
+    """Answers of a labelling service: codes, labels, and labels that are missing."""
+    html = F.concat(F.lit("<title>Head</title><p>"), F.col("s_name"), F.lit("</p>"))
+    rows = P.segment(built(spark, d, "supplier", "s_suppkey", html, F.concat(F.lit("https://x.y/"), text("s_suppkey"))))
 
+    def ask(requests):
+        out = []
+        for r in requests:
+            k = int(r.split('"url":"https://x.y/')[1].split('"')[0]) % 5
+            out.append([(1001, None), (1001, None), (77, None), (0, ["article_title", "content"]), (0, ["article_title"])][k])
+        return out
 
-@query("SELECT page_id, TRUE AS all_content FROM pages")
+    answers = P.call_labeller(P.label_request(rows.filter("s_suppkey % 5 <> 0")), ask)
+    done = P.apply_labels(rows, answers)
+    return done.select("s_suppkey", "error", F.array_join(F.transform("sentences", lambda s: s["label"]), ",").alias("labels"))
+
+
+@query("SELECT p_partkey, (p_size % 6 + 2)::BIGINT AS sentences, 'content' AS label FROM part")
 def label_mock(spark, d):
-    rows = P.label(P.segment(table(spark, d, "pages").select("page_id", "url", "html")))
-    return rows.select("page_id", F.forall("sentences", lambda s: s["label"] == "content").alias("all_content"))
+    """Without a labeller every sentence is content."""
+    html = F.concat(F.lit("<title>Head</title><p>"), F.repeat(F.lit("One more. "), (F.col("p_size") % 6 + 1).cast("int")), F.lit("</p>"))
+    rows = P.label(P.segment(built(spark, d, "part", "p_partkey", html))).select("p_partkey", F.explode("sentences").alias("s"))
+    return rows.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("sentences"), F.array_join(F.collect_set("s.label"), ",").alias("label"))
 
 
-@query("SELECT s_suppkey, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 4) AS tier FROM supplier")
+@query("""SELECT p_partkey, array_to_string(list_transform(l, lambda x: 'h' || (len(list_distinct(list_filter(l, lambda y: y < x))) + 1)), ' ') AS tags
+FROM (SELECT p_partkey, [p_size % 6 + 1, p_partkey % 3 + 2, 6, p_size % 2 + 1] AS l FROM part)""")
 def heading_tier(spark, d):
-    """Heading levels of a group, numbered without gaps."""
-    from pyspark.sql import Window
+    """Heading levels of a page, numbered without gaps."""
+    levels = [F.col("p_size") % 6 + 1, F.col("p_partkey") % 3 + 2, F.lit(6), F.col("p_size") % 2 + 1]
+    heads = [F.concat(F.lit("<h"), n.cast("string"), F.lit(">t</h"), n.cast("string"), F.lit(">")) for n in levels]
+    rows = P.cleaned(built(spark, d, "part", "p_partkey", F.concat(F.lit("<body>"), *heads, F.lit("</body>"))), ["tier_headings"])
+    return rows.select("p_partkey", F.array_join(F.regexp_extract_all("cleaned", F.lit("<(h[1-6]) "), F.lit(1)), " ").alias("tags"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'rgb; display: contents;' ELSE 'rgb' END AS style, p_size % 2 = 0 AS own_style, 1 AS saved FROM part")
+def style_nodes(spark, d):
+    """Items of marked introductions, a site's own style, and saved styles in the head."""
+    mark = F.when(F.col("p_size") % 3 == 0, "<div data-leaf-intro='1'>").otherwise("<div>")
+    html = F.concat(F.lit("<style>p{}</style><body>"), mark, F.lit("<ul><li><i style='rgb'>x</i></li></ul></div></body>"))
+    url = F.when(F.col("p_size") % 2 == 0, "https://web.okjike.com/a").otherwise("https://site.example/")
+    rows = P.cleaned(built(spark, d, "part", "p_partkey", html, url), ["styles", "restore"])
+    return rows.select("p_partkey", F.regexp_extract("cleaned", '<i style="([^"]*)"', 1).alias("style"), F.contains("cleaned", F.lit("line-height")).alias("own_style"), F.regexp_count("cleaned", F.lit(r"p\{\}")).alias("saved"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) >= 0.7 * (length(p_name) + p_size % 20 + 1) THEN p_name ELSE p_name || ' ' || repeat('z', (p_size % 20)::INT) END AS title FROM part WHERE p_size % 20 > 0")
+def title_headings(spark, d):
+    """The part of the title that a heading repeats, if it is most of the title."""
+    html = F.concat(F.lit("<title>"), F.col("p_name"), F.lit(" "), F.repeat(F.lit("z"), (F.col("p_size") % 20).cast("int")), F.lit("</title><h3>"), F.col("p_name"), F.lit("</h3>"))
+    rows = P.page_map(built(spark, d, "part", "p_partkey", html).filter("p_partkey is not null"), lambda r: {"title": P._page(r).title_by_headings()}, "title string", ("html", "url"))
+    return rows.join(table(spark, d, "part").filter("p_size % 20 > 0").select("p_partkey"), "p_partkey").select("p_partkey", F.trim("title").alias("title"))
+
+
+@query("SELECT p_partkey, (p_size % 4) AS videos FROM part")
+def beyond_canvas(spark, d):
+    """Videos before the first and after the last labelled sentence go; those between stay."""
+    n = (F.col("p_size") % 4).cast("int")
+    video = F.lit("<div><video src='v'></video></div>")
+    html = F.concat(F.lit("<body>"), video, F.lit("<p>noise one</p><p>first text</p>"), F.repeat(video, n), F.lit("<p>last text</p><p>noise two</p>"), video, F.lit("</body>"))
+    give = lambda s: F.when(F.contains(s["text"], F.lit("noise")), "O").otherwise("content")
+    rows = P.distill(P.label(P.segment(built(spark, d, "part", "p_partkey", html)), give))
+    return rows.select("p_partkey", F.regexp_count("readable_html", F.lit("<video")).cast("bigint").alias("videos"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'div' ELSE 'span' END AS holder FROM supplier")
+def subtree_wrap(spark, d):
+    """An introduction's sentences: the element that holds nearly nothing else is marked; else they get one of their own."""
+    rest = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(F.repeat(F.lit("other text "), F.lit(30)))
+    html = F.concat(F.lit("<body><div><p>Intro one words. </p><p>Intro two words.</p><p>"), rest, F.lit("</p></div><p>"), F.repeat(F.lit("body "), F.lit(60)), F.lit("</p></body>"))
+    give = lambda s: F.when(F.contains(s["text"], F.lit("Intro")), "introduction").otherwise("content")
+    rows = P.distill(P.label(P.segment(built(spark, d, "supplier", "s_suppkey", html)), give))
+    return rows.select("s_suppkey", F.regexp_extract("readable_html", r'<(\w+)[^>]* data-leaf-intro="1"', 1).alias("holder"))
 
-    level = F.concat(F.lit("h"), (F.col("s_suppkey") % 4 + 1).cast("string"))
-    tier = F.dense_rank().over(Window.partitionBy("s_nationkey").orderBy(F.regexp_extract(level, r"(\d)", 1).cast("int")))
-    return table(spark, d, "supplier").select("s_suppkey", tier.alias("tier"))
+
+@query("SELECT p_partkey, 'div height=\"' || p_size || '\"' AS div, 'img data-src=\"https://site.example/i/' || p_size || '\"' AS img FROM part")
+def div_image_rules(spark, d):
+    """What formatting leaves of a box's and an image's attributes."""
+    html = F.concat(F.lit("<body><div class='c' height='"), text("p_size"), F.lit("' onclick='o'><p>t</p><img class='k' data-src='/i/"), text("p_size"), F.lit("' alt='a'></div></body>"))
+    rows = P.cleaned(built(spark, d, "part", "p_partkey", html), ["format_nodes"])
+    bare = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("cleaned", f"<({tag}[^>]*?) ?/?>", 1), ' position_id="[0-9]+"', ""))
+    return rows.select("p_partkey", bare("div").alias("div"), bare("img").alias("img"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0")
+def cache_back(spark, d):
+    """Pages that go back to the cache: fetched now, with content, and wanted there."""
+    from leafpress.sources import store
+
+    rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 2 == 0).alias("fetched"), (F.col("s_suppkey") % 3 == 0).alias("worthless"), (F.col("s_suppkey") % 5 != 0).alias("save_crawl_html"))
+    return store.back_to_cache(rows).select("s_suppkey")
+
+
+#: Text, title and verdict of the raw pages, told by their markup: the article's text without white space.
+_PLAIN = r"""(SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[\s\p{Z}]', '', 'g') AS bare, trim(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS whole_title FROM pages)"""
+_PLAIN = f"""(SELECT *, trim(CASE WHEN strlen(front)::FLOAT / strlen(whole_title)::FLOAT > 0.7::FLOAT THEN front ELSE whole_title END) AS title
+FROM (SELECT *, array_to_string(list_slice(string_split_regex(whole_title, '{fixed.TITLE_SPLIT}'), 1, -2), '') AS front FROM {_PLAIN}))"""
 
 
 @query("SELECT p_partkey, 'https://site.example/i/' || p_size || '.png' AS image FROM part WHERE p_size % 2 = 0")
@@ -381,28 +490,38 @@ def surviving_images(spark, d):
     return left.select(F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("p_partkey"), "image")
 
 
-@query("SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, TRUE AS has_title FROM pages")
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"[\s\p{Z}]", "")
+
+
+@query(f"SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, title, bare FROM {_PLAIN}")
 def segment_page(spark, d):
+    """Host, title and all sentences of the raw pages."""
     rows = P.segment(table(spark, d, "pages").select("page_id", "url", "html"))
-    return rows.select("page_id", "url", F.regexp_extract("meta.site_icon", r"^https://(.*)/favicon\.ico$", 1).alias("host"), (F.col("meta.title") != "").alias("has_title"))
+    body = F.array_join(F.transform(F.filter("sentences", lambda s: s["segment_id"] > 0), lambda s: s["text"]), "")
+    return rows.select("page_id", "url", F.regexp_extract("meta.site_icon", r"^https://(.*)/favicon\.ico$", 1).alias("host"), "meta.title", _bare(body).alias("bare"))
 
 
-@query("SELECT page_id, TRUE AS headed, TRUE AS closed FROM pages")
+@query("""SELECT s_suppkey, '<body position_id="7"><head><meta name="description" content="About ' || s_suppkey || '" /><meta property="og:image" content="" /><link rel="icon" href="https://site.example/favicon.ico" /><meta name="publish_time" content="2024-05-06" /><meta name="author" content="' || s_name || '" /><title>T' || s_suppkey || '</title></head>'
+  || '<p position_id="8"><leaf-pos-group position_id="9"><leaf-pos position_id="10">Body ' || s_nationkey || '.</leaf-pos></leaf-pos-group></p></body>' AS readable FROM supplier""")
 def reader_html(spark, d):
-    rows = P.parse(table(spark, d, "pages").select("page_id", "url", "html"))
-    tag = lambda t: F.regexp_count("readable_html", F.lit(t))
-    return rows.select("page_id", F.contains("readable_html", F.concat(F.lit('<meta name="author" content="'), "author", F.lit('" />'))).alias("headed"), (tag("<p[ >]") == tag("</p>")).alias("closed"))
+    """The whole reader page of a simple page."""
+    html = F.concat(F.lit("<head><title>T"), text("s_suppkey"), F.lit("</title><meta name='author' content='"), F.col("s_name"), F.lit("'><meta name='description' content='About "), text("s_suppkey"), F.lit("'><meta itemprop='datePublished' content='2024-05-06'></head><body><nav>n</nav><p>Body "), text("s_nationkey"), F.lit(".</p></body>"))
+    return P.parse(built(spark, d, "supplier", "s_suppkey", html)).select("s_suppkey", F.col("readable_html").alias("readable"))
 
 
-@query()
+@query(f"SELECT page_id, bare, 0 AS images, CASE WHEN length(bare) > 300 THEN 1 END AS worth_type FROM {_PLAIN}")
 def distill_page(spark, d):
-    return P.distill(P.label(P.segment(table(spark, d, "pages").select("page_id", "url", "html")))).select("page_id", "text", "images", "worth_type", "worthless")
+    """Text and images of the raw pages, and the verdict on those that are long enough by far."""
+    rows = P.distill(P.label(P.segment(table(spark, d, "pages").select("page_id", "url", "html"))))
+    bare = _bare(F.col("text"))
+    return rows.select("page_id", bare.alias("bare"), F.size("images").alias("images"), F.when(F.length(bare) > 300, F.col("worth_type")).alias("worth_type"))
 
 
-@query(r"""SELECT page_id, url, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/favicon.ico' AS site_icon, '' AS author, '' AS description, '' AS surface_image FROM pages""")
+@query(f"""SELECT page_id, url, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/favicon.ico' AS site_icon, title, bare, '' AS author, '' AS description, '' AS surface_image, 'none' AS error FROM {_PLAIN}""")
 def parse_page(spark, d):
     rows = P.parse(table(spark, d, "pages").select("page_id", "url", "html"))
-    return rows.select("page_id", "url", "site_icon", "author", "description", "surface_image")
+    return rows.select("page_id", "url", "site_icon", "title", _bare(F.col("text")).alias("bare"), "author", "description", "surface_image", F.coalesce("error", F.lit("none")).alias("error"))
 
 
 @query("SELECT page_id, page_id % 3 = 0 OR page_id % 3 = 1 AND page_id % 2 = 0 AS need_browser FROM pages")

@@ -28,6 +28,8 @@ SEGMENT = f"meta {META}, sentences array<{SENTENCE}>, segmented string, images m
 DISTILL = "readable_html string, text string, images array<string>"
 #: Pages in an Arrow slice of the kernel's output.
 SLICE = 64
+#: File bytes a core under which an input is dealt over the cores.
+SMALL = 32_000_000
 
 
 def _nullable(kind: T.DataType) -> T.DataType:
@@ -42,8 +44,33 @@ def _as(column: pa.Array, kind: pa.DataType) -> pa.Array:
     return column if column.type == kind else pa.array(column.to_pylist(), kind)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, where the input files are too small to be split that far.
+
+    Large inputs are left as they are scanned, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    session = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = session.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if size < cores * SMALL else df
+
+
+def safely(step: Callable[[dict], dict], row: dict) -> dict:
+    """What a step makes of a row; a row that it cannot handle says so and harms no other."""
+    try:
+        return step(row)
+    except Exception as e:  # noqa: BLE001  pages hold anything
+        return {"error": f"{type(e).__name__}: {e}"}
+
+
 def page_map(df: DataFrame, step: Callable[[dict], dict], fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add a kernel's columns to each row; batches are cut so that no slice holds many pages."""
+    """Add a kernel's columns to each row; batches are cut so that no slice holds many pages.
+
+    A row at which the step raises gets nulls, and the reason in ``error`` if there is such a field.
+    """
     kept = [T.StructField(f.name, _nullable(f.dataType)) for f in df.schema.fields if f.name not in drop]
     out = T.StructType([*kept, *T._parse_datatype_string(fields).fields])
     arrow, names = to_arrow_schema(out), [f.name for f in kept]
@@ -52,7 +79,7 @@ def page_map(df: DataFrame, step: Callable[[dict], dict], fields: str, drop: tup
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows = [step(r) for r in part.to_pylist()]
+                rows = [safely(step, r) for r in part.to_pylist()]
                 cols = [_as(part.column(part.schema.get_field_index(n)), arrow.field(n).type) for n in names]
                 cols += [pa.array([r.get(f.name) for r in rows], arrow.field(f.name).type) for f in out.fields[len(kept) :]]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
@@ -73,37 +100,34 @@ def _page(row: dict, html: str = "html", light: bool = True) -> Page:
 
 def _nodes(page: Page) -> list[dict]:
     out: list[dict] = []
-
-    def visit(n, parent: int, depth: int) -> int:
-        row = {"pid": n.pid, "parent": parent, "depth": depth, "tag": n.tag, "attrs": list(n.attrs.items()), "text": n.text, "tail": n.tail, "xpath": n.xpath}
-        out.append(row)
-        last = n.pid
-        for c in n.children:
-            last = visit(c, n.pid, depth + 1)
-        row["last_pid"] = last
-        return last
-
-    visit(page.root, 0, 0)
+    rows: dict[int, dict] = {0: {"pid": 0, "depth": -1}}
+    for n in page.root.all():
+        up = rows[n.parent.pid if n is not page.root else 0]
+        rows[n.pid] = {"pid": n.pid, "parent": up["pid"], "depth": up["depth"] + 1, "tag": n.tag, "attrs": list(n.attrs.items()), "text": n.text, "tail": n.tail, "xpath": n.xpath, "last_pid": n.pid}
+        out.append(rows[n.pid])
+    for row in reversed(out):  # descendants come before their elements
+        up = rows[row["parent"]]
+        up["last_pid"] = max(up.get("last_pid", 0), row["last_pid"])
     return out
 
 
 def dom_nodes(pages: DataFrame) -> DataFrame:
     """The pages with their repaired, pruned trees as arrays of nodes in document order."""
-    return page_map(pages, lambda r: {"nodes": _nodes(_page(r))}, f"nodes array<{NODE}>", ("html",))
+    return page_map(spread(pages), lambda r: {"nodes": _nodes(_page(r))}, f"nodes array<{NODE}>", ("html",))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    return page_map(pages, lambda r: {"text": raw_text(_page(r).root)}, "text string", ("html",))
+    return page_map(spread(pages), lambda r: {"text": raw_text(_page(r).root)}, "text string", ("html",))
 
 
 def select(pages: DataFrame, path: str) -> DataFrame:
     """Numbers and texts of the elements that an xpath finds."""
-    return page_map(pages, lambda r: {"found": [{"pid": n.pid, "text": raw_text(n)} for n in _page(r).find(path)]}, "found array<struct<pid:int,text:string>>", ("html",))
+    return page_map(spread(pages), lambda r: {"found": [{"pid": n.pid, "text": raw_text(n)} for n in _page(r).find(path)]}, "found array<struct<pid:int,text:string>>", ("html",))
 
 
 def metadata(pages: DataFrame) -> DataFrame:
     """The pages with their article metadata; times are brought to normal form natively."""
-    out = page_map(pages, lambda r: {"meta": _page(r).meta()}, f"meta {META}", ("html",))
+    out = page_map(spread(pages), lambda r: {"meta": _page(r).meta()}, f"meta {META}", ("html",))
     return out.withColumn("meta", F.col("meta").withField("publish_time", normal_time(F.col("meta.publish_time"))))
 
 
@@ -120,7 +144,7 @@ def cleaned(pages: DataFrame, steps: list[str]) -> DataFrame:
             getattr(page, name)()
         return {"cleaned": page.to_html(), "text": raw_text(page.root)}
 
-    return page_map(pages, run, "cleaned string, text string", ("html",))
+    return page_map(spread(pages), run, "cleaned string, text string", ("html",))
 
 
 def segment(pages: DataFrame, strict: bool = False) -> DataFrame:
@@ -142,7 +166,7 @@ def segment(pages: DataFrame, strict: bool = False) -> DataFrame:
         page.format_nodes()
         return {"meta": meta, "sentences": sents, "segmented": page.to_html(), "images": list(page.images_with_pid().items())}
 
-    out = page_map(pages, run, SEGMENT, ("html",))
+    out = page_map(spread(pages), run, SEGMENT, ("html",))
     return out.withColumn("meta", F.col("meta").withField("publish_time", normal_time(F.col("meta.publish_time"))))
 
 
@@ -159,6 +183,39 @@ def label_request(segmented: DataFrame) -> DataFrame:
     return segmented.withColumn("request", F.to_json(F.struct("url", F.transform("sentences", info).alias("infos"))))
 
 
+#: What a labelling service answers besides success (0), and what becomes of the page.
+LABEL_ERRORS = {1001: "label service: bad request", 1002: "label service: model failed", 2001: "label service: overloaded"}
+
+
+def apply_labels(segmented: DataFrame, answers: DataFrame) -> DataFrame:
+    """Sentences with the labels that a service gave, in ``answers`` (url, code, labels by position).
+
+    A code other than 0 or an unknown answer becomes the page's error; sentences
+    without a label are noise.
+    """
+    told = answers.groupBy("url").agg(F.max_by(F.struct("code", "labels"), F.struct(-F.col("code"))).alias("_told"))
+    rows = segmented.join(told, "url", "left")
+    given = lambda s, i: s.withField("label", F.coalesce(F.get(F.col("_told.labels"), i), F.lit(fixed.LABEL_NOISE)))
+    known = F.create_map(*(F.lit(x) for kv in LABEL_ERRORS.items() for x in kv))
+    code = F.col("_told.code")
+    wrong = F.when(code.isNull(), "label service: no answer").when(code != 0, F.coalesce(F.try_element_at(known, code), F.concat(F.lit("label service: code "), code.cast("string"))))
+    rows = rows.withColumn("error", F.coalesce("error", wrong)).withColumn("sentences", F.when(code == 0, F.transform("sentences", given)).otherwise(F.col("sentences")))
+    return rows.drop("_told")
+
+
+def call_labeller(requests: DataFrame, ask: Callable[[list[str]], list[tuple[int, list[str] | None]]], batch: int = 64) -> DataFrame:
+    """Answers (url, code, labels) of a service that takes batches of ``label_request`` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                got = ask(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c for c, _ in got], pa.int32()), pa.array([x for _, x in got], pa.list_(pa.string()))], ["url", "code", "labels"])
+
+    return requests.select("url", "request").mapInArrow(run, "url string, code int, labels array<string>")
+
+
 def recover_meta(labelled: DataFrame, model: str | None = None) -> DataFrame:
     """Fill blank metadata from the model's answer, and the source from its label."""
     own = F.try_element_at(F.filter("sentences", lambda s: s["label"] == "source"), F.lit(1))["text"]
@@ -180,7 +237,7 @@ def distill(labelled: DataFrame) -> DataFrame:
 
     def run(row: dict) -> dict:
         if not row.get("segmented"):
-            return {}
+            return {"error": row.get("error")}
         rule, sents = _rule(row), row["sentences"]
         page = Page.__new__(Page)
         page.url, page.rule, page.html = row["url"], rule, row["segmented"]
@@ -193,9 +250,9 @@ def distill(labelled: DataFrame) -> DataFrame:
             page.beyond_canvas(sents)
         page.empty_tags()
         text, images = raw_text(page.root), page.images()
-        return {"readable_html": page.to_html(row["meta"]), "text": text, "images": images}
+        return {"readable_html": page.to_html(row["meta"]), "text": text, "images": images, "error": row.get("error")}
 
-    out = page_map(labelled, run, DISTILL, ("images",)) if "images" in labelled.columns else page_map(labelled, run, DISTILL)
+    out = page_map(labelled, run, f"{DISTILL}, error string", ("images", "error"))
     labels = F.transform("sentences", lambda s: s["label"])
     worth = F.when(F.col("readable_html").isNull(), 3).otherwise(X.worth_type(F.col("meta.title"), F.col("text"), labels))
     return out.withColumn("worth_type", F.coalesce(worth, F.lit(3))).withColumn("worthless", F.col("worth_type") != 1)

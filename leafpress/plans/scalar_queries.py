@@ -146,11 +146,18 @@ def url_host(spark, d):
     return table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), X.bare_url(F.concat(F.lit("https://www.http://www."), "url")).alias("bare"))
 
 
-@query(r"SELECT page_id, ends_with(lower(regexp_replace(url || (['', '.PDF', '.pdf?x=1#y'])[page_id % 3 + 1], '[?#].*$', '')), '.pdf') AS pdf FROM pages")
+_PDF_ENDS = ["", ".PDF", ".pdf?x=1#y", ".pdf"]
+
+
+@query(f"""SELECT page_id, ends_with(link, '.pdf') OR contains(link, 'arxiv.org/pdf') OR link LIKE '%files.example/download?file_id=%' AS pdf, contains(link, 'store.example') AS own
+FROM (SELECT page_id, CASE page_id % 7 WHEN 4 THEN 'https://arxiv.org/pdf/24' || page_id WHEN 5 THEN 'https://files.example/download?file_id=' || page_id WHEN 6 THEN 'https://store.example/x' ELSE url || ({sql_list(_PDF_ENDS)})[(page_id % 7 % 4 + 1)::INT] END AS link FROM pages)""")
 def url_is_pdf(spark, d):
-    k = F.col("page_id") % 3
-    url = F.when(k == 0, F.col("url")).when(k == 1, F.concat("url", F.lit(".PDF"))).otherwise(F.concat("url", F.lit(".pdf?x=1#y")))
-    return table(spark, d, "pages").select("page_id", X.url_is_pdf(url).alias("pdf"))
+    """As written: upper case and what follows the ending make it another url."""
+    k, n = F.col("page_id") % 7, F.col("page_id").cast("string")
+    link = F.concat("url", F.element_at(X.literals(_PDF_ENDS), (k % 4 + 1).cast("int")))
+    link = F.when(k == 4, F.concat(F.lit("https://arxiv.org/pdf/24"), n)).when(k == 5, F.concat(F.lit("https://files.example/download?file_id="), n)).when(k == 6, F.lit("https://store.example/x")).otherwise(link)
+    download = r"files\.example/download\?file_id=.*"
+    return table(spark, d, "pages").select("page_id", X.url_is_pdf(link, (download,)).alias("pdf"), X.url_is_own_pdf(link, ("store.example",), ()).alias("own"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -163,21 +170,26 @@ def short_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.short_hash(F.col("text"), F.lit("v1")).alias("digest"))
 
 
-@query("SELECT page_id, url AS common FROM pages")
+@query("""SELECT p_partkey, coalesce(first(substring(a, i, n) ORDER BY n DESC, i) FILTER (contains(b, substring(a, i, n))), '') AS common
+FROM (SELECT *, unnest(generate_series(1, length(a) - i + 1)) AS n FROM (SELECT p_partkey, p_name AS a, p_brand || ' ' || reverse(p_name) || substring(p_name, 3, p_size % 9) AS b, unnest(generate_series(1, length(p_name))) AS i FROM part)) GROUP BY p_partkey""")
 def lcs(spark, d):
-    return table(spark, d, "pages").select("page_id", X.longest_common(F.concat(F.lit("<"), "url", F.lit(">")), F.concat(F.lit("["), "url", F.lit("]"))).alias("common"))
+    b = F.concat("p_brand", F.lit(" "), F.reverse("p_name"), F.substring("p_name", F.lit(3), (F.col("p_size") % 9).cast("int")))
+    return table(spark, d, "part").select("p_partkey", X.longest_common(F.col("p_name"), b).alias("common"))
 
 
-@query("SELECT doc_id, replace(replace(left(text, 200), 'and', 'A'), 'an', 'B') AS replaced FROM documents")
-def replace_links(spark, d):
-    links = F.create_map(F.lit("an"), F.lit("B"), F.lit("and"), F.lit("A"))
-    return table(spark, d, "documents").select("doc_id", X.replace_links(F.substring("text", 1, 200), links).alias("replaced"))
+@query("SELECT p_partkey, p_name AS common FROM part")
+def lcs_mapped(spark, d):
+    """A heading that holds a title, with other signs around it, gives the title as it was written."""
+    full = F.concat("p_name", F.lit(" – "), "p_brand")
+    part = F.concat(F.lit("<< "), "p_name", F.lit("\t >>"))
+    return table(spark, d, "part").select("p_partkey", F.trim(X.common_in_full(full, part)).alias("common"))
 
 
-@query("SELECT doc_id, replace(replace(text, 'and', 'A'), 'an', 'B') AS replaced FROM documents")
-def replace_links_whole(spark, d):
-    links = F.create_map(F.lit("an"), F.lit("B"), F.lit("and"), F.lit("A"))
-    return table(spark, d, "documents").select("doc_id", X.replace_links(F.col("text"), links).alias("replaced"))
+@query("""SELECT doc_id, replace(replace(replace(text || ' <the> and', 'and', chr(1)), 'an', 'B'), chr(1), 'an') AS replaced FROM documents""")
+def replace_links(spark, d):
+    """One pass: what replaces ``and`` is not replaced again, and an empty value leaves its key."""
+    links = F.create_map(F.lit("an"), F.lit("B"), F.lit("and"), F.lit("an"), F.lit("<the>"), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", X.replace_links(F.concat("text", F.lit(" <the> and")), links).alias("replaced"))
 
 
 @query("SELECT doc_id, substring(text, 1, 50) AS head, substring(text, 11) AS rest FROM (SELECT doc_id, text || 'zzzzzzzzzzzz' AS text FROM documents)")
@@ -194,20 +206,16 @@ def has_prefix(spark, d):
 
 @query(r"""SELECT doc_id, len(w) AS n, list_bool_or(list_transform(w, lambda x: x = 'the')) AS any_the, list_bool_and(list_transform(w, lambda x: length(x) > 0)) AS all_full,
   array_to_string(list_transform(list_filter(w, lambda x: length(x) > 12), lambda x: reverse(x)), ' ') AS long, list_min(w) AS least, coalesce(list_position(w, 'the'), 0)::BIGINT AS place
-FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE len(list_filter(string_split(text, ' '), lambda x: x = '')) = 0)""")
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")
 def hof_collections(spark, d):
     w = F.split("text", " ")
-    words = table(spark, d, "documents").select("doc_id", w.alias("w")).filter(~F.exists("w", lambda x: x == ""))
+    words = table(spark, d, "documents").select("doc_id", w.alias("w"))
     return words.select("doc_id", F.size("w").cast("bigint").alias("n"), F.exists("w", lambda x: x == "the").alias("any_the"), F.forall("w", lambda x: F.length(x) > 0).alias("all_full"), F.array_join(F.transform(F.filter("w", lambda x: F.length(x) > 12), F.reverse), " ").alias("long"), F.array_min("w").alias("least"), F.array_position("w", "the").alias("place"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT doc_id, string_split(text, ' ')[1:60] AS w FROM documents)""")
+@query("""SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT doc_id, w, min(i) AS i FROM (
+  SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) GROUP BY doc_id, w) GROUP BY doc_id""")
 def dedup_ordered(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.slice(F.split("text", " "), 1, 60)), " ").alias("words"))
-
-
-@query()
-def dedup_ordered_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
@@ -242,6 +250,7 @@ _LAYOUTS = [
     ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"), ("yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M"), ("yyyy年MM月dd日 HH:mm", "%Y年%m月%d日 %H:%M"),
     ("MMM d, yyyy", "%b %-d, %Y"), ("dd.MM.yyyy", "%d.%m.%Y"), ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "%a, %d %b %Y %H:%M:%S GMT"), ("d MMMM yyyy", "%-d %B %Y"), ("yyyy-MM-dd'T'HH:mm:ss'+08:00'", "%Y-%m-%dT%H:%M:%S+08:00"),
     ("'at' yyyy-MM-dd HH:mm:ss 'on'", "at %Y-%m-%d %H:%M:%S on"), ("'no time'", "no time"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SS'Z'", "%Y-%m-%dT%H:%M:%SZ"), ("MMM d HH:mm:ss", "%b %-d %H:%M:%S"), ("EEE MMM d HH:mm:ss 'MST' yyyy", "%c"),
 ]
 _NORMAL = "trim(regexp_replace(regexp_replace(strftime({t}, '%Y-%m-%d %H:%M:%S'), ':00$', ''), '00:00$', ''))"
 #: With minutes, so that the forms differ.
@@ -249,14 +258,14 @@ _MOMENT = "(o_orderdate + to_minutes((o_orderkey % 1440)::BIGINT) + to_seconds((
 _LATER = "to_days(5000)"
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN k IN (4, 5, 7) THEN strftime(t, '%Y-%m-%d') WHEN k IN (2, 3) THEN {_NORMAL.format(t="date_trunc('minute', t)")} WHEN k = 10 THEN 'no time' ELSE {_NORMAL.format(t='t')} END AS normal
-FROM (SELECT o_orderkey, o_orderkey % 11 AS k, {_MOMENT} AS t FROM orders)""")
+@query(f"""SELECT o_orderkey, CASE WHEN k IN (4, 5, 7) THEN strftime(t, '%Y-%m-%d') WHEN k IN (2, 3) THEN {_NORMAL.format(t="date_trunc('minute', t)")} WHEN k = 10 THEN 'no time' WHEN k = 12 THEN '0000' || substring({_NORMAL.format(t='t')}, 5) ELSE {_NORMAL.format(t='t')} END AS normal
+FROM (SELECT o_orderkey, o_orderkey % 14 AS k, {_MOMENT} AS t FROM orders)""")
 def norm_time(spark, d):
     t = F.col("o_orderdate") + F.make_dt_interval(mins=F.col("o_orderkey") % 1440, secs=F.col("o_orderkey") % 60)
     raw = F.lit(None).cast("string")
     for k, (p, _) in enumerate(_LAYOUTS):
         raw = F.when(F.col("k") == k, F.concat(F.lit("at "), F.date_format("t", "yyyy-MM-dd HH:mm:ss"), F.lit(" on")) if k == 9 else F.date_format("t", p)).otherwise(raw)
-    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 11).alias("k"), t.cast("timestamp").alias("t"))
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 14).alias("k"), t.cast("timestamp").alias("t"))
     return rows.select("o_orderkey", X.norm_time(raw).alias("normal"))
 
 
@@ -269,15 +278,15 @@ def epoch_time(spark, d):
 
 
 _GROUPS = "[" + ", ".join(sql_list(g) for g in fixed.WORTHLESS_KEYWORDS) + "]"
-_WORTH = f"""SELECT doc_id, CASE WHEN length(text) < 100 AND (regexp_matches(title, '{"|".join(fixed.WORTHLESS_TITLES)}')
+_WORTH = f"""SELECT doc_id, CASE WHEN length(text) < 100 AND (regexp_matches({sql_clean('title')}, '{"|".join(fixed.WORTHLESS_TITLES)}')
     OR list_bool_or(list_transform({_GROUPS}, lambda g: len(list_filter(g, lambda w: contains(text, w))) >= 0.75 * len(g) OR len(list_filter(g, lambda w: contains(text, w))) + 1 = len(g)))) THEN 2
   WHEN length(CASE WHEN title = '' THEN text ELSE replace(text, title, '') END) <= 100 THEN 3 ELSE 1 END AS worth
-FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'nginx 404' WHEN 1 THEN '内容 作者' ELSE text END AS text, CASE doc_id % 7 WHEN 0 THEN '404 Not Found' WHEN 1 THEN left(text, 30) ELSE '' END AS title FROM documents)"""
+FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'nginx 404' WHEN 1 THEN '内容 作者' ELSE text END AS text, CASE doc_id % 7 WHEN 0 THEN '404 Not Found' WHEN 1 THEN left(text, 30) WHEN 2 THEN 'x 404 ' || chr(9) || ' Not  Found' ELSE '' END AS title FROM documents)"""
 
 
 def _pages_with_titles(spark, d) -> DataFrame:
     text = F.when(F.col("doc_id") % 9 == 0, "nginx 404").when(F.col("doc_id") % 9 == 1, "内容 作者").otherwise(F.col("text"))
-    title = F.when(F.col("doc_id") % 7 == 0, "404 Not Found").when(F.col("doc_id") % 7 == 1, F.substring("text", 1, 30)).otherwise("")
+    title = F.when(F.col("doc_id") % 7 == 0, "404 Not Found").when(F.col("doc_id") % 7 == 1, F.substring("text", 1, 30)).when(F.col("doc_id") % 7 == 2, F.lit("x 404 \t Not  Found")).otherwise("")
     return table(spark, d, "documents").select("doc_id", text.alias("text"), title.alias("title"))
 
 
@@ -301,14 +310,15 @@ def worth_hist(spark, d):
     return worth_type(spark, d).groupBy("worth").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TINY = "(VALUES " + ", ".join(f"('{p.replace(chr(39), chr(39) * 2)}', {n})" for p, n in fixed.TINY_NOISE) + ") r(phrase, most)"
+_TINY = "[" + ", ".join(f"{{'phrase': '{p.replace(chr(39), chr(39) * 2)}', 'most': {n}}}" for p, n in fixed.TINY_NOISE) + "]"
 
 
-@query(f"""SELECT doc_id, EXISTS (SELECT 1 FROM {_TINY} WHERE contains(line, phrase) AND length(line) <= most) AS noise
-FROM (SELECT doc_id, left(text, (doc_id % 45)::INT) || (['', '点击上方', '广告', '阅读原文'])[(doc_id % 4 + 1)::INT] AS line FROM documents)""")
+@query(f"""SELECT doc_id, len(list_filter(string_split(body, chr(10)), lambda l: list_bool_or(list_transform({_TINY}, lambda r: contains(l, r.phrase) AND length(l) <= r.most))))::BIGINT AS notices
+FROM (SELECT doc_id, text || chr(10) || 'see 点击上方' || chr(10) || left(repeat('广告 ', 30), (doc_id % 90)::INT) || chr(10) || text || '阅读原文' AS body FROM documents)""")
 def tiny_noise(spark, d):
-    line = F.concat(F.substring("text", F.lit(1), (F.col("doc_id") % 45).cast("int")), F.element_at(X.literals(["", "点击上方", "广告", "阅读原文"]), (F.col("doc_id") % 4 + 1).cast("int")))
-    return table(spark, d, "documents").select("doc_id", X.tiny_noise(line).alias("noise"))
+    """How many lines of a text, with some notices added, are small notices."""
+    body = F.concat("text", F.lit("\nsee 点击上方\n"), F.substring(F.repeat(F.lit("广告 "), F.lit(30)), F.lit(1), (F.col("doc_id") % 90).cast("int")), F.lit("\n"), "text", F.lit("阅读原文"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(body, "\n"), lambda l: X.tiny_noise(l))).cast("bigint").alias("notices"))
 
 
 @query("SELECT p_partkey, 'class,data-x' AS kept FROM part")

@@ -190,7 +190,21 @@ def image_lookup(spark, d):
     return store.image_lookup(_images(spark, d, "p_partkey % 2 = 0", "old"), _images(spark, d, "p_partkey % 3 = 0", "x")).select("src_img_url", "oss_img_url")
 
 
-@query("SELECT doc_id, text FROM documents")
+#: The bytes of 网页 in GBK, of 中文 in HZ (behind what is no UTF-8), and of 㐀 in GB18030.
+_GBK, _HZ, _GB18030 = b"\xcd\xf8\xd2\xb3", b"~{VPND~}", b"\x81\x39\xee\x39"
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'a' || doc_id || '网页' WHEN 2 THEN '㐀' || doc_id || '网页' END AS text FROM documents")
 def decode_bytes(spark, d):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-8"))
+    """UTF-8, GBK and GB18030 (four bytes a sign); bytes of no known code give none."""
+    k, n = F.col("doc_id") % 4, F.encode(F.col("doc_id").cast("string"), "UTF-8")
+    raw = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.lit(b"a"), n, F.lit(_GBK))).when(k == 2, F.concat(F.lit(_GB18030), n, F.lit(_GBK))).otherwise(F.concat(n, F.lit(b"\xff\xff")))
     return table(spark, d, "documents").select("doc_id", decode.decode_bytes(raw).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '中文' || doc_id ELSE 'x' || doc_id END AS text FROM documents")
+def decode_hz(spark, d):
+    """HZ is seven-bit, so it is plain text for UTF-8 and is read when it is asked for."""
+    n = F.encode(F.col("doc_id").cast("string"), "UTF-8")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(_HZ), n)).otherwise(F.concat(F.lit(b"x"), n))
+    return table(spark, d, "documents").select("doc_id", decode.decode_bytes(raw, ("hz",)).alias("text"))

@@ -60,7 +60,7 @@ def test_atoms_get_elements_of_their_own():
     sents = page.sentences()
     page.mark_atoms(sents)
     html = page.to_html()
-    assert html.count("<dplv-pos ") == sum(len(s["atoms"]) for s in sents)
+    assert html.count("<leaf-pos ") == sum(len(s["atoms"]) for s in sents)
     assert raw_text(page.root).replace("\n", " ").split() == "One. Two tail".split()
 
 
