@@ -298,20 +298,40 @@ def test_large_component(spark, monkeypatch):
 
 
 def test_recall_of_the_forest(spark):
-    """Pairs just at the threshold are found."""
+    """Pairs just at the threshold, 0.80 to 0.82, are found."""
     import random
 
     r, rows, near = random.Random(5), [], 0
-    for k in range(150):
-        a = [f"x{k}_{i}" for i in range(80)]
+    for k in range(300):
+        a = [f"x{k}_{i}" for i in range(r.randint(95, 104))]
         b = list(a)
-        b[r.randrange(10, 70)] = "changed"
+        at = r.randrange(10, 40)
+        b[at], b[at + 45] = "changed", "too"  # ten shingles of either go
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
-        both = len(brute.shingles(rows[-2][1]) & brute.shingles(rows[-1][1]))
-        near += 5 * both >= 4 * (152 - both)
+        x, y = brute.shingles(rows[-2][1]), brute.shingles(rows[-1][1])
+        near += 0.8 <= len(x & y) / len(x | y) <= 0.82
     got = by_id(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")))
-    found = sum(got[2 * k + 1]["class_id"] == 2 * k for k in range(150))
-    assert near == 150 and found >= 149
+    found = sum(got[2 * k + 1]["class_id"] == 2 * k for k in range(300))
+    assert near == 300 and found >= 299
+
+
+def test_crowded_nodes_use_whole_labels_and_go_back(spark, monkeypatch):
+    """Crowds are cut at whole labels where the recall allows it; links are the same."""
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    common = [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join([*common[:50], *(f"u{i}_{j}" for j in range(30))])) for i in range(40)]  # alike at 0.4
+    rows += [(100 + i, " ".join([*common[20:], f"n{i}", *(f"z{j}" for j in range(60))])) for i in range(30)]  # near copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(jaccard.join(docs))
+    assert {d: (r["class_id"], r["n_links"]) for d, r in got.items()} == brute.jaccard_groups(rows)
+    classes = jaccard.signed(docs).withColumnRenamed("doc_id", "rep")
+    short = jaccard.shortest_prefix(0.8)
+    spared = jaccard.spared_trees(0.8, short)
+    assert short < jaccard.DEEPEST and 0 < spared < jaccard.TREES
+    nodes = jaccard.met(classes, short, spared)
+    whole, kept = nodes.filter("tree < 0").count(), nodes.filter("tree >= 0 and size > 3").count()
+    assert kept > 0  # the near copies are crowded everywhere
+    assert whole + kept > 0 and jaccard.met(classes, short, jaccard.TREES).filter("tree < 0").count() >= whole
 
 
 def test_jaccard_odd_and_empty(odd, empty, docs):
@@ -322,7 +342,15 @@ def test_jaccard_odd_and_empty(odd, empty, docs):
     out = jaccard.distinct(docs)
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in out.select("doc_id").collect()} == {3, 5}
-    assert jaccard.distinct(odd).columns == odd.columns
+    left = jaccard.distinct(odd)
+    assert left.columns == odd.columns
+    # One row of each group, whatever ids repeat; those without words all stay.
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:20]) for r in left.collect())
+    texts = {r["text"] for r in odd.collect()}
+    groups = brute.jaccard_groups(list(enumerate(sorted(filter(None, texts)))))
+    assert len(kept) == len({g for g, _ in groups.values()}) + sum(r["text"] is None for r in odd.collect())
+    assert len(kept) == len(set(kept))
+    assert jaccard.distinct(empty).collect() == []
 
 
 # -- repeated substrings --
