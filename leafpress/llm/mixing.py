@@ -96,8 +96,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as many times as the mix takes it."""
-    taken = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").cast("int").alias("copies"))
-    rows = docs.select(F.struct("*").alias("_doc"), words(F.col("text")).alias("_size"))  # own names cannot clash
-    rows = rows.join(taken, F.col("_doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_size") == F.col("size")))
+    """The documents, each as many times as the mix takes it. Of rows that share id,
+    text and source one stands for all, with the copies of all."""
+    check = F.xxhash64("text").alias("_check")
+    taken = mix(docs.select("doc_id", "source", "text", check), keep=["_check"], **options).groupBy("doc_id", "source", "_check")
+    taken = taken.agg(F.sum("copies").cast("int").alias("copies"), (F.count(F.lit(1)) > 1).alias("repeated")).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("_doc"), check)  # own names cannot clash
+    same = F.col("_doc.doc_id").eqNullSafe(F.col("doc_id")) & F.col("_doc.source").eqNullSafe(F.col("source")) & (rows["_check"] == taken["_check"])
+    rows = rows.join(taken, same).drop(rows["_check"])
+    one = rows.filter("repeated").groupBy("doc_id", "source", "_check").agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc"), F.first("copies").alias("copies"))
+    rows = rows.filter("not repeated").select("_doc", "copies").unionByName(one.select("_doc", "copies"))
     return rows.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_doc.*")

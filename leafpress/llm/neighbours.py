@@ -3,28 +3,31 @@
 Vectors are dealt into blocks, each held as one row with float and int8 codes.
 Query blocks meet candidate blocks in tiles: the int8 product gives every inner
 product with a bound on its quantisation error, pairs whose upper bound is under
-the running k-th lower bound are dropped, and the survivors are computed again
-from the original vectors in double precision and merged by a heap for each
-query. The result is exact.
+the running k-th score are dropped, and the survivors are computed again from
+the original vectors in double precision and merged by a heap for each query,
+which runs through all tiles of a task. What the tasks keep, k rows a query each,
+is ranked again, k rows a query before and after the shuffle. The result is exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows with a null id; vectors meet only vectors of
-their own length; equal scores rank by the smaller id; rows that repeat a candidate's id are candidates each; a repeated
-query row gives one list; fewer candidates than k give all of them; an empty
-table gives an empty table.
+their own length, however long; equal scores rank by the smaller id; rows that repeat a
+candidate's id are candidates each; of query rows that share an id the smallest
+vector asks; fewer candidates than k give all of them; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, BLOCK_ROWS = 20, 8192
+#: Bytes of a packed block, and of the candidate blocks that a query block meets in one task.
+BLOCK_BYTES, GROUP_BYTES = 8_000_000, 64_000_000
 _BLOCK = "block int, dim int, ids binary, vectors binary, codes binary, scales binary, errors binary"
 _NEAR = "query_id long, vec_id long, score double"
 
@@ -66,13 +69,16 @@ def _unpack(row: dict) -> tuple[np.ndarray, ...]:
     return ids, np.frombuffer(row["vectors"], "<f8").reshape(shape), np.frombuffer(row["codes"], np.int8).reshape(shape), np.frombuffer(row["scales"], "<f8"), np.frombuffer(row["errors"], "<f8")
 
 
-def tile(query: dict, cand: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of a candidate block for each query of a query block."""
+def tile(query: dict, cand: dict, k: int, heaps: list[list[tuple[float, int]]]) -> None:
+    """Merge the nearest of a candidate block into the heaps of a query block's queries.
+
+    A heap holds (score, -id) of the k best so far, the worst on top.
+    """
     qi, qv, qc, qs, qe = _unpack(query)
     ci, cv, cc, cs, ce = _unpack(cand)
-    out: list[list] = [[], [], []]
     cf, cn = cc.astype(np.float32), np.linalg.norm(cv, axis=1)
     qn = np.linalg.norm(qv, axis=1)
+    running = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
     for at in range(0, len(qi), 256):
         s = slice(at, at + 256)
         # Products of codes are whole numbers below 2**24: exact in float32 up to 1040 dimensions.
@@ -84,41 +90,55 @@ def tile(query: dict, cand: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
         own = qi[s, None] == ci[None, :]
         low = np.where(own, -np.inf, near - slack)
         n = min(k, low.shape[1])
-        floor = -np.partition(-low, n - 1, axis=1)[:, n - 1]
+        floor = np.maximum(-np.partition(-low, n - 1, axis=1)[:, n - 1], running[s])
         keep = (near + slack >= floor[:, None]) & ~own
         for i in range(keep.shape[0]):
-            js = np.flatnonzero(keep[i])
+            js, heap = np.flatnonzero(keep[i]), heaps[at + i]
+            if not len(js):
+                continue
             score = np.cumsum(cv[js] * qv[at + i], axis=1)[:, -1]  # summed in order
-            best = heapq.nsmallest(k, zip((-score).tolist(), ci[js].tolist()))
-            out[0] += [int(qi[at + i])] * len(best)
-            out[1] += [c for _, c in best]
-            out[2] += [-d for d, _ in best]
-    return tuple(np.array(c, dtype=t) for c, t in zip(out, ("i8", "i8", "f8")))
+            for item in zip(score.tolist(), (-ci[js]).tolist()):
+                if len(heap) < k:
+                    heapq.heappush(heap, item)
+                elif item > heap[0]:
+                    heapq.heapreplace(heap, item)
+
+
+def _dealt(rows: DataFrame, value: str, block_rows: int) -> tuple[int, int]:
+    """In how many blocks the vectors lie, and the bytes of one."""
+    n, widest = rows.agg(F.count(F.lit(1)), F.max(F.size(value))).first()
+    each = 9 * (widest or 1) + 24
+    size = max(1, min(block_rows, BLOCK_BYTES // each))
+    return -(-max(1, n) // size), size * each
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", value: str = "embedding", k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of every query."""
     vectors = vectors.filter(F.col(key).isNotNull() & _usable(F.col(value))).select(key, value)
-    queries = queries.filter(F.col(key).isNotNull() & _usable(F.col(value))).select(key, value).dropDuplicates([key])
-    blocks = -(-max(1, vectors.count()) // block_rows)
-    query_blocks = -(-max(1, queries.count()) // block_rows)
-    cands = blocked(vectors, key, value, blocks).withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asks = blocked(queries, key, value, query_blocks).withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # A block is copied once for each block of the other side: packed rows, not pairs of vectors.
-    cands = cands.select("dim", F.col("against").alias("q"), F.col("block").alias("c"), *(F.col(n).alias(f"c_{n}") for n in ("ids", "vectors", "codes", "scales", "errors")))
-    asks = asks.select("dim", F.col("block").alias("q"), F.col("against").alias("c"), "ids", "vectors", "codes", "scales", "errors")
-    tiles = asks.join(cands, ["dim", "q", "c"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                cand = {n.removeprefix("c_"): v for n, v in row.items() if n.startswith("c_")} | {"dim": row["dim"]}
-                cols = tile(row, cand, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
-
-    near = tiles.mapInArrow(run, _NEAR)
-    # Of each query k rows a block: the best k by a heap of bounded size.
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("best"))
-    rows = best.select("query_id", F.posexplode("best").alias("rank", "b"))
-    return rows.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.d")).alias("score"))
+    queries = queries.filter(F.col(key).isNotNull() & _usable(F.col(value))).groupBy(key).agg(F.min(value).alias(value))
+    blocks, size = _dealt(vectors, value, block_rows)
+    query_blocks, _ = _dealt(queries, value, block_rows)
+    groups = -(-blocks // max(1, GROUP_BYTES // size))
+    # A block is copied once for each block, or group of blocks, of the other side: packed rows, not pairs of vectors.
+    cands = blocked(vectors, key, value, blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("g", F.pmod("block", F.lit(groups)))
+    asks = blocked(queries, key, value, query_blocks).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumnRenamed("block", "q")
+    tasks = min(query_blocks * groups, 100_000)
+    meet = lambda df: df.repartition(tasks, "dim", "q", "g").groupBy("dim", "q", "g")
+
+    def run(asked: pa.Table, found: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        for query in asked.to_pylist():
+            ids = np.frombuffer(query["ids"], "<i8").tolist()
+            heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+            for i in range(found.num_rows):
+                tile(query, found.slice(i, 1).to_pylist()[0], k, heaps)
+            for q, heap in zip(ids, heaps):
+                out[0] += [q] * len(heap)
+                out[1] += [-c for _, c in heap]
+                out[2] += [x for x, _ in heap]
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    near = meet(asks).cogroup(meet(cands)).applyInArrow(run, _NEAR)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -163,6 +163,25 @@ def test_nearest(spark, block):
     assert set(got) <= set(use) | {95}
 
 
+def test_nearest_carries_bounds_and_takes_long_vectors(spark, monkeypatch):
+    """Many groups of blocks, each with a running bound; and vectors beyond exact float32 products."""
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)]
+    rows += [(i, rows[i - 300][1]) for i in range(300, 330)]  # ties
+    rows += [(1000 + i, [float(x) for x in r.normal(size=1500)]) for i in range(12)] + [(0, [9.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 1000)
+    got = defaultdict(list)
+    for x in sorted(neighbours.nearest(df, df.filter("vec_id % 50 = 0"), block_rows=40).collect(), key=lambda x: (x["query_id"], x["rank"])):
+        got[x["query_id"]].append(x["vec_id"])
+    plain = lambda a, b: sum(p * q for p, q in zip(a, b))
+    asks = {q: min(v for i, v in rows if i == q) for q in range(0, 330, 50)} | {1000: rows[330][1]}
+    for q, v in asks.items():
+        want = sorted((-plain(v, c), i) for i, c in rows if i != q and len(c) == len(v))[:20]
+        assert got[q] == [i for _, i in want]
+    assert set(got) == set(asks)
+
+
 def test_nearest_empty(spark):
     _, df = vectors(spark)
     assert neighbours.nearest(df.limit(0), df.limit(0)).collect() == []
@@ -236,6 +255,8 @@ def test_mixed_documents(odd, empty, docs):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     assert Counter(r["doc_id"] for r in rows.collect()) == {d: n for d, n in copies.items() if n}
     assert mixing.mixed(odd).columns == odd.columns
+    assert mixing.mixed(odd).count() == mixing.mix(odd).agg(F.sum("copies")).first()[0]
+    assert mixing.mixed(empty).collect() == []
 
 
 # -- secrets --
@@ -419,6 +440,49 @@ def test_weights_and_growth(spark):
     assert abs(out.filter("b = 8").count() - 20_000 / 9) < 300
 
 
+def plain_shard(key, topology):
+    """The descent by smallest weighted draws, in plain Python."""
+    import math
+
+    weight = lambda x: sum(map(weight, x.values())) if isinstance(x, dict) else x
+    while isinstance(topology, dict):
+        draws = []
+        for name, child in topology.items():
+            u = (int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:13], 16) + 0.5) / float(1 << 52)
+            draws.append((-math.log(u) / weight(child), name))
+        name = min(draws)[1] if len(draws) > 1 else next(iter(topology))
+        topology = topology[name]
+    return int(name)
+
+
+def test_shards_follow_the_draws(spark):
+    unequal = {"east": {"e1": {"0": 1.0, "1": 3.0}, "e2": {"2": 0.5}}, "west": {"w1": {"3": 2.0, "4": 0.25, "5": 1.0}}}
+    ids = spark.range(3000).withColumnRenamed("id", "doc_id")
+    for topology in (unequal, sharding.tree(8), sharding.tree(11)):
+        got = {r["doc_id"]: r["s"] for r in sharding.assign_shard(ids, "doc_id", topology, "s").collect()}
+        assert got == {i: plain_shard(i, topology) for i in range(3000)}
+
+
+def test_changed_weights_move_keys_of_their_subtree_only(spark):
+    before = {"east": {"e1": {"0": 1.0, "1": 1.0}, "e2": {"2": 1.0, "3": 1.0}}, "west": {"w1": {"4": 2.0, "5": 2.0}}}
+    after = {"east": {"e1": {"0": 0.5, "1": 1.5}, "e2": {"2": 1.0, "3": 1.0}}, "west": {"w1": {"4": 2.0, "5": 2.0}}}
+    ids = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    moved = sharding.assign_shard(sharding.assign_shard(ids, "doc_id", before, "a"), "doc_id", after, "b")
+    n = {(r["a"], r["b"]): r["count"] for r in moved.groupBy("a", "b").count().collect()}
+    assert {k for k in n if k[0] != k[1]} == {(0, 1)}  # weights within a rack changed, its own did not
+    share = {s: sum(v for k, v in n.items() if k[1] == s) / 40_000 for s in range(6)}
+    assert all(abs(share[s] - w / 8) < 0.01 for s, w in zip(range(6), (0.5, 1.5, 1, 1, 2, 2)))
+    heavier = {"east": {"e1": {"0": 1.0, "1": 1.0}, "e2": {"2": 1.0, "3": 1.0}}, "west": {"w1": {"4": 2.0, "5": 6.0}}}
+    moved = sharding.assign_shard(sharding.assign_shard(ids, "doc_id", before, "a"), "doc_id", heavier, "b")
+    pairs = {(r["a"], r["b"]) for r in moved.filter("a <> b").select("a", "b").distinct().collect()}
+    assert pairs <= {(a, b) for a in (0, 1, 2, 3) for b in (4, 5)} | {(4, 5)}
+
+
+def test_shards_of_a_long_text(spark):
+    (r,) = sharding.shard_documents(spark.createDataFrame([(1, "é" * 3_000_000)], "doc_id long, text string")).collect()
+    assert r["size"] == 6_000_001 and r["text_crc32"] == brute.crc("é" * 3_000_000)
+
+
 def test_shards_odd_and_empty(odd, empty):
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == odd.count()
