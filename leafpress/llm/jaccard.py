@@ -279,7 +279,16 @@ def likely_edges(classes: DataFrame, nodes: DataFrame) -> DataFrame:
     signs = classes.select("key", sign.alias("sign"))
     rows = few.select("key", "tree", "node").join(signs, "key").repartition("tree", "node").sortWithinPartitions("tree", "node", "key")
     heads = many.filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    return rows.mapInArrow(_likely, "a long, b long").unionByName(heads).distinct()
+    return contracted(rows.mapInArrow(_likely, "a long, b long").unionByName(heads))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: a class is tied to the least of its partners, and that one to
+    the others. Copies of one kind name few partners, so most edges are equal."""
+    own = edges.groupBy("a").agg(F.collect_set("b").alias("all"))  # one a tree at most
+    own = own.withColumn("least", F.array_min("all"))
+    rest = own.select(F.col("least").alias("a"), F.explode("all").alias("b")).filter("a <> b")
+    return own.select("a", F.col("least").alias("b")).unionByName(rest).distinct()
 
 
 def _verify(table: pa.Table) -> pa.Table:
