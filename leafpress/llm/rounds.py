@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafpress.llm import textnum as tn
 from leafpress.llm.staging import text_bytes
 
 #: Text bytes of a block of documents, of those that share a bucket, and of a task's.
@@ -214,9 +215,9 @@ def next_round(blocks: DataFrame, replies: DataFrame, step: Callable[[pa.Table,
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` consecutive values, by doubling."""
-    done, out = 1, values
-    while done < width:
+    done, out = 1, values.copy()
+    while done < width and len(out):
         step = min(done, width - done)
-        out = np.minimum(out[:-step], out[step:])
+        out = tn.fold(out, step, np.minimum)
         done += step
     return out

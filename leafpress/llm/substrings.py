@@ -52,7 +52,9 @@ class Block:
         width = window - ANCHOR
         padded = np.concatenate([np.zeros(width, np.uint64), self.least, np.zeros(width, np.uint64)])
         over = ~rounds.sliding_min(~padded, width + 1) if n else np.zeros(0, np.uint64)
-        self.anchors = grams[: len(over)][grams[: len(over)] == over]
+        # Least hashes lie near zero; mixed again, they spread over the buckets.
+        self.anchors = tn.mix64(grams[: len(over)][grams[: len(over)] == over])
+        self.least = tn.mix64(self.least)
 
     def candidates(self, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows whose anchor is repeated: their places and hashes."""

@@ -61,7 +61,8 @@ class Part:
         nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         self.first = first[of] + nth * most
         self.last = np.minimum(self.first + most, last[of])
-        self.value, self.split = self.least[self.first], (times > 1)[of]
+        # Least hashes lie near zero; mixed again, they spread over the buckets.
+        self.value, self.split = tn.mix64(self.least[self.first]), (times > 1)[of]
 
     def suffixes(self) -> np.ndarray:
         """Places of indexed suffixes: those that are the least of some window."""
@@ -118,14 +119,14 @@ class Block:
 
     def suffixes(self) -> np.ndarray:
         """Hashes of all indexed suffixes."""
-        return _joined([p.grams[p.suffixes()] for p in self.parts()])
+        return _joined([tn.mix64(p.grams[p.suffixes()]) for p in self.parts()])
 
     def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the distinct indexed suffixes, their bytes, and which occur twice."""
         hashes, texts = [], []
         for part in self.parts():
             at = part.suffixes()
-            hashes.append(part.grams[at])
+            hashes.append(tn.mix64(part.grams[at]))
             texts.append(part.texts(at))
         own, first, n = np.unique(_joined(hashes), return_index=True, return_counts=True)
         return own, (np.concatenate(texts) if texts else np.zeros(0, f"S{SUFFIX}"))[first], n > 1

@@ -8,11 +8,13 @@ unlike strings share a 64-bit hash with odds of one in 2^64, whatever they hold.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: Values worked on at once, so that they stay in the cache.
+PART = 1 << 15
 #: Text bytes worked on at once; a longer text is taken alone.
 SLICE_BYTES = 2_000_000
 
@@ -45,13 +47,24 @@ def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def fold(values: np.ndarray, step: int, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``join`` of each value and the one ``step`` after it, in place (front to back, in
+    parts that fit the cache), as a view."""
+    n = len(values) - step
+    for i in range(0, n, PART):
+        j = min(i + PART, n)
+        values[i:j] = join(values[i:j], values[i + step : j + step])
+    return values[:n]
+
+
 def window_hash(values: np.ndarray, k: int, done: int = 1) -> np.ndarray:
     """Hashes of all windows of ``k`` values, from those of ``done`` values, by doubling."""
     if len(values) + done - 1 < k:
         return np.zeros(0, dtype=np.uint64)
+    values = np.array(values, dtype=np.uint64)
     while done < k:
         step = min(done, k - done)
-        values = join2(values[:-step], values[step:])
+        values = fold(values, step, join2)
         done += step
     return values
 
