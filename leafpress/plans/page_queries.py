@@ -63,6 +63,14 @@ def node_xpath(spark, d):
     return nodes.select("p_partkey", last("li")["xpath"].alias("last_item"), last("p")["xpath"].alias("second"), last("p")["pid"].alias("last_pid"))
 
 
+@query("SELECT p_partkey, p_size % 7 + 8 AS nodes, '/html/body/div/p[2]' AS last, p_size::VARCHAR AS text FROM part")
+def dom_nodes_sql(spark, d):
+    """The tree in SQL, by a table function."""
+    P.register_dom_nodes(spark)
+    pages = built(spark, d, "part", "p_partkey", _list())
+    return spark.sql("SELECT p_partkey, count(*) AS nodes, max_by(xpath, pid) AS last, max_by(text, pid) AS text FROM {pages}, LATERAL dom_nodes(html, url) GROUP BY p_partkey", pages=pages)
+
+
 @query("SELECT p_partkey, (p_size % 7 + 1)::INT AS items, p_size::VARCHAR AS second FROM part")
 def xpath_select(spark, d):
     pages = built(spark, d, "part", "p_partkey", _list())

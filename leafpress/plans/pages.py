@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -116,6 +116,23 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
     return page_map(spread(pages), lambda r: {"nodes": _nodes(_page(r))}, f"nodes array<{NODE}>", ("html",))
 
 
+class DomNodes:
+    """The nodes of one page's repaired, pruned tree, for lateral joins in SQL."""
+
+    def eval(self, html: str | None, url: str | None):
+        try:
+            nodes = _nodes(Page(html or "", url or ""))
+        except Exception:  # noqa: BLE001  a page that nothing can be made of has no nodes
+            return
+        for n in nodes:
+            yield n["pid"], n["parent"], n["last_pid"], n["depth"], n["tag"], dict(n["attrs"]), n["text"], n["tail"], n["xpath"]
+
+
+def register_dom_nodes(spark: SparkSession, name: str = "dom_nodes") -> None:
+    """Make ``dom_nodes(html, url)`` a table function of the session's SQL."""
+    spark.udtf.register(name, F.udtf(DomNodes, returnType=NODE.removeprefix("struct<").removesuffix(">")))
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     return page_map(spread(pages), lambda r: {"text": raw_text(_page(r).root)}, "text string", ("html",))
 
