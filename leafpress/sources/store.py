@@ -37,11 +37,16 @@ def back_to_cache(parsed: DataFrame) -> DataFrame:
     return parsed.filter("fetched and not worthless and save_crawl_html")
 
 
-def fetch(requests: DataFrame, cached: DataFrame, plain: DataFrame, browser: DataFrame) -> DataFrame:
-    """Html of each request: cache, then plain fetch, then browser; ``source`` says which."""
+def fetch(requests: DataFrame, cached: DataFrame, plain: DataFrame, browser: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Html of each request: cache, then plain fetch, then browser; ``source`` says which.
+
+    A request gives one row. Requests are told apart by ``keys``; of several filled
+    answers to one the last by code points counts.
+    """
     out = requests
     for name, got in (("cache", cached), ("plain", plain), ("browser", browser)):
-        out = out.join(got.select("url", F.nullif("html", F.lit("")).alias(name)), "url", "left")
+        one = got.groupBy(*keys).agg(F.max(F.nullif("html", F.lit(""))).alias(name))
+        out = out.join(one, [*keys], "left")
     source = F.when(F.col("cache").isNotNull(), "cache").when(F.col("plain").isNotNull(), "plain").when(F.col("browser").isNotNull(), "browser").otherwise("error")
     return out.withColumn("source", source).withColumn("html", F.coalesce("cache", "plain", "browser")).drop("cache", "plain", "browser")
 

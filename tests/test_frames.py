@@ -58,6 +58,29 @@ def test_cache_append_and_lookup(spark, tmp_path):
     assert {r["url"]: r["html"] for r in got.collect()} == {"u": "new", "v": "new"}
 
 
+def against_sql(spark, folder, name):
+    """Rows of a query over ``pages`` of a folder, and of its SQL."""
+    got = entry.queries()[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, got.collect()), key=repr), sorted(want, key=repr)
+
+
+def test_pages_with_one_address_are_fetched_each(spark, tmp_path):
+    rows = [(i, f"https://a.b/{i // 4}", f"<p>{i}</p>") for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = against_sql(spark, tmp_path, "crawl_fallback")
+    assert len(got) == 40 and got == want
+
+
+def test_answers_to_one_request_give_one_row(spark):
+    asked = spark.createDataFrame([("u",), ("v",), ("v",), ("w",)], "url string")
+    table = lambda *rows: spark.createDataFrame(list(rows), "url string, html string")
+    got = store.fetch(asked, table(("u", "a"), ("u", "b"), ("v", "")), table(("v", "c"), ("v", None), ("u", "x")), table(("q", "y")))
+    assert sorted(map(tuple, got.select("url", "source", "html").collect())) == [("u", "cache", "b"), ("v", "plain", "c"), ("v", "plain", "c"), ("w", "error", None)]
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     batch = spark.read.parquet(f"{sf}/pages.parquet")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
