@@ -74,7 +74,7 @@ def test_pages_with_one_address_are_fetched_each(spark, tmp_path):
     assert len(got) == 40 and got == want
 
 
-@pytest.mark.parametrize("name", ["distill_page", "segment_page"])
+@pytest.mark.parametrize("name", ["distill_page", "segment_page", "parse_page"])
 def test_short_articles_beside_long_ads(spark, tmp_path, name):
     rows = [(i, f"https://a.b/{i}", f"<html><head><title>Name {i}</title></head><body><div>{'ad words ' * (i * 20)}</div><article><h1>Name {i}</h1><p>Some words.</p></article></body></html>") for i in range(4)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
