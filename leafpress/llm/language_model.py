@@ -11,17 +11,17 @@ Blocks of documents ask the shards, an order a round, for the n-grams that occur
 in them, and tell how often they occur in their training documents; shards add
 up, build their level, look every question up in it and answer with its place and
 count (and its quantised probability, where that does not follow from a small
-count). An n-gram of three words and more is asked for where both of its shorter
-n-grams occur twice or more in the corpus, for no other can; a pair with a word
-that occurs once needs no question, since only the block that holds it can hold
-the pair. Words and n-grams have exact numbers (their shard and place in it), which
-name the contexts of the next order.
+count). If one of an n-gram's two shorter n-grams has all its training occurrences
+in a block, so has the n-gram, and that block need not ask for it. It still tells
+it if both are wanted, that is, stand in another block's held-out texts; shards
+say so with their answers. Words and n-grams have exact numbers (their shard and
+place in it), which name the contexts of the next order.
 
 The model interpolates, after Witten and Bell, with the number of different
 successors of a context that occurs c times put at T(c) = ``TYPES`` * sqrt(c):
 p(w | context) = (c(context w) + T(c) * p(w | shorter context)) / (c + T(c)).
-N-grams of three words and more that occur once are left out, so the sum over all
-words can be less than one. A word's probability is (c - D) / N, with the
+N-grams of three words and more that occur less than ``least`` times are left out;
+with 1, as in the query, none are, and the sum over all words is one. A word's probability is (c - D) / N, with the
 discounted mass D * V / N for the one unknown word. A text's begin is a word that
 only contexts hold.
 
@@ -46,7 +46,7 @@ from leafpress.llm import textnum as tn
 
 BLOCK_BYTES = 8_000_000
 #: Words of the longest n-grams; steps of the quantised log10.
-ORDER, STEPS = 3, 2000
+ORDER, STEPS = 4, 2000
 #: Counts up to this go in a byte, and their probabilities follow from them.
 FEW = 254
 #: Factor of the successor types of a context; training occurrences of a context in one part.
@@ -227,6 +227,20 @@ def _counts(raw: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
     return out, at + n + 8 * len(large)
 
 
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _unbits(raw: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = -(-n // 8)
+    return np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n).astype(bool), at + size
+
+
+def _wanted(at: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of the questions of all blocks: those about what stands in another block's held-out texts."""
+    return np.bincount(at, weights=held)[at] > held
+
+
 def _rows(block: int, of: np.ndarray, bodies: list[bytes]) -> pa.Table:
     return pa.table([pa.array(np.full(len(of), block, dtype=np.int32)), pa.array(of.astype(np.int32)), pa.array(bodies, pa.binary())], schema=rounds._ASK)
 
@@ -238,38 +252,43 @@ def _replies(asked: pa.Table, number: int, bodies: list[bytes]) -> pa.Table:
 class Words:
     """First order: a block's distinct words by hash."""
 
-    def __init__(self, hashes: np.ndarray, train: np.ndarray):
+    def __init__(self, hashes: np.ndarray, train: np.ndarray, held: np.ndarray):
         self.order = np.argsort(hashes)
-        self.keys, self.train = hashes[self.order], train[self.order]
+        self.keys, self.train, self.held = hashes[self.order], train[self.order], held[self.order]
 
     def ask(self, block: int, buckets: int) -> pa.Table:
         of, at = rounds.cuts(self.keys, buckets)
-        return _rows(block, of, [np.uint32(j - i).tobytes() + _rising(self.keys[i:j]) + code_counts(self.train[i:j]) for i, j in zip(at[:-1], at[1:])])
+        return _rows(block, of, [np.uint32(j - i).tobytes() + _rising(self.keys[i:j]) + code_counts(self.train[i:j]) + _bits(self.held[i:j]) for i, j in zip(at[:-1], at[1:])])
 
-    def hear(self, replies: list[tuple[int, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Corpus count and number of each word."""
+    def hear(self, replies: list[tuple[int, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Corpus count and number of each word, and whether it is wanted."""
         of, at = rounds.cuts(self.keys, buckets)
-        count, ident = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.uint64)
+        count, ident, wanted = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.uint64), np.zeros(len(self.keys), bool)
         for (bucket, raw), i, j in zip(replies, at[:-1], at[1:]):
             count[self.order[i:j]], to = _counts(raw, j - i, 0)
-            ident[self.order[i:j]] = _unrising(raw, "<u4", j - i, to)[0].astype(np.uint64) | np.uint64(bucket << 32)
-        return count, ident
+            place, to = _unrising(raw, "<u4", j - i, to)
+            ident[self.order[i:j]] = place.astype(np.uint64) | np.uint64(bucket << 32)
+            wanted[self.order[i:j]] = _unbits(raw, j - i, to)[0]
+        return count, ident, wanted
 
 
 def add_words(asked: pa.Table) -> pa.Table:
     """A shard's words: corpus counts and numbers; and its N, V and how many words come once and twice."""
     asked = asked.combine_chunks()
-    keys, counts, sizes = [], [], []
+    keys, counts, held, sizes = [], [], [], []
     for raw in asked["body"].to_pylist():
         n = int(np.frombuffer(raw, "<u4", 1)[0])
         key, to = _unrising(raw, "<u8", n, 4)
         keys.append(key)
-        counts.append(_counts(raw, n, to)[0])
+        count, to = _counts(raw, n, to)
+        counts.append(count)
+        held.append(_unbits(raw, n, to)[0])
         sizes.append(n)
     own, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
     cut = np.cumsum(sizes)[:-1]
-    out = _replies(asked, 1, [code_counts(total[x]) + _rising(x.astype("<u4")) for x in np.split(at, cut)])
+    wanted = _wanted(at, np.concatenate(held))
+    out = _replies(asked, 1, [code_counts(total[x]) + _rising(x.astype("<u4")) + _bits(w) for x, w in zip(np.split(at, cut), np.split(wanted, cut))])
     stats = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], dtype="<i8").tobytes()
     bucket = asked["bucket"][0].as_py()
     return pa.concat_tables([out, pa.table([[-1 - bucket], [bucket], [0], [stats]], schema=rounds._ANSWER)])
@@ -293,21 +312,23 @@ def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Grams:
     """An order's n-grams as a block asks for them: by shard, context and word."""
 
-    def __init__(self, place: np.ndarray, context: np.ndarray, context_count: np.ndarray, word: np.ndarray, train: np.ndarray, buckets: int):
-        """Numbers and counts of distinct n-grams; ``place`` orders them by context and word."""
+    def __init__(self, place: np.ndarray, context: np.ndarray, context_count: np.ndarray, word: np.ndarray, train: np.ndarray, held: np.ndarray, buckets: int):
+        """Numbers and counts of distinct n-grams; ``place`` orders them by context and word.
+        ``held``: those that stand in held-out texts."""
         key = context * np.uint64(0x9E3779B97F4A7C15)
         split = np.flatnonzero(context_count >= PART)  # parts of a frequent context by word
         key[split] += tn.mix64(word[split] + np.uint64(7)) % (context_count[split] // PART + 1).astype(np.uint64)
         shard = rounds.bucket_of(tn.mix64(key), buckets)
         top = int(place.max(initial=0)) + 1
         self.order = np.argsort(shard * top + place) if buckets < (1 << 62) // top else np.lexsort((place, shard))
-        self.context, self.context_count, self.word, self.train, shard = context, context_count, word, train, shard[self.order]
+        self.context, self.context_count, self.word, self.train, self.held, shard = context, context_count, word, train, held, shard[self.order]
         first = np.flatnonzero(np.diff(shard, prepend=-1))
         self.of, self.at = shard[first], np.append(first, len(shard))
 
-    def ask(self, block: int) -> pa.Table:
+    def ask(self, block: int, last: bool) -> pa.Table:
+        """``last``: no order follows, for which it would matter what is wanted."""
         of, at = self.of, self.at
-        context, count, word, train = (x[self.order] for x in (self.context, self.context_count, self.word, self.train))
+        context, count, word, train, held = (x[self.order] for x in (self.context, self.context_count, self.word, self.train, self.held))
         fresh = np.ones(len(context), dtype=bool)
         fresh[1:] = context[1:] != context[:-1]
         fresh[at[:-1]] = True
@@ -316,30 +337,35 @@ class Grams:
             first = np.flatnonzero(fresh[i:j]) + i
             head = np.array([len(first), j - i], dtype="<u4").tobytes()
             sizes = np.diff(np.append(first, j))
-            bodies.append(b"".join([head, _rising(context[first]), code_counts(count[first]), code_counts(sizes), _planes(word[i:j]), code_counts(train[i:j])]))
+            bodies.append(b"".join([head, _rising(context[first]), code_counts(count[first]), code_counts(sizes), _planes(word[i:j]), code_counts(train[i:j]), b"" if last else _bits(held[i:j])]))
         return _rows(block, of, bodies)
 
-    def hear(self, replies: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Corpus count (0 if left out), quantised probability and number of each n-gram."""
+    def hear(self, replies: list[tuple[int, bytes]], last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Corpus count (0 if left out), quantised probability and number of each n-gram, and
+        whether it is wanted. One that no other block asks for has no number, nor have those of the last order."""
         at, n = self.at, len(self.order)
-        count, code, ident = np.zeros(n, np.int64), np.zeros(n, np.uint16), np.zeros(n, np.uint64)
+        count, code, ident, wanted = np.zeros(n, np.int64), np.zeros(n, np.uint16), np.zeros(n, np.uint64), np.zeros(n, bool)
         for (bucket, raw), i, j in zip(replies, at[:-1], at[1:]):
             n, to = _counts(raw, j - i, 0)
-            often, many = np.flatnonzero(n > 1), np.flatnonzero(n > FEW)
+            many = np.flatnonzero(n > FEW)
             own = self.order[i:j]
             count[own] = n
-            ident[own[often]], to = _unrising(raw, "<u4", len(often), to)
-            ident[own[often]] |= np.uint64(bucket << 32)
             few = own[(n > 0) & (n <= FEW)]
             code[few] = level_codes(count[few], self.context_count[few])
-            code[own[many]] = _unplanes(raw, "<u2", len(many), to)[0]
-        return count, code, ident
+            code[own[many]], to = _unplanes(raw, "<u2", len(many), to)
+            if last:
+                continue
+            named, to = _unbits(raw, j - i, to)
+            wanted[own], to = _unbits(raw, j - i, to)
+            named = own[named]
+            ident[named] = _unrising(raw, "<u4", len(named), to)[0].astype(np.uint64) | np.uint64(bucket << 32)
+        return count, code, ident, wanted
 
 
-def serve(asked: pa.Table, number: int, least: int) -> pa.Table:
+def serve(asked: pa.Table, number: int, least: int, last: bool) -> pa.Table:
     """A shard of an order: adds up its n-grams, builds their level and looks every question up in it."""
     asked = asked.combine_chunks()
-    contexts, totals, words, counts, sizes = [], [], [], [], []
+    contexts, totals, words, counts, helds, sizes = [], [], [], [], [], []
     for raw in asked["body"].to_pylist():
         c, n = np.frombuffer(raw, "<u4", 2).tolist()
         context, to = _unrising(raw, "<u8", c, 8)
@@ -349,7 +375,10 @@ def serve(asked: pa.Table, number: int, least: int) -> pa.Table:
         contexts.append(np.repeat(context, size))
         totals.append(np.repeat(total, size))
         words.append(word)
-        counts.append(_counts(raw, n, to)[0])
+        count, to = _counts(raw, n, to)
+        counts.append(count)
+        if not last:
+            helds.append(_unbits(raw, n, to)[0])
         sizes.append(n)
     total = np.concatenate(totals)
     # Sorted by numbers, as the blocks' questions are, so that places rise within each of them.
@@ -365,10 +394,18 @@ def serve(asked: pa.Table, number: int, least: int) -> pa.Table:
     place = level.find(ctx, wrd)
     count = np.where(place >= 0, count, 0)
     code = level.codes[np.maximum(place, 0)] if len(kept) else np.zeros(len(keys), np.uint16)
+    cut = np.cumsum(sizes)[:-1]
     bodies = []
-    for x in np.split(at, np.cumsum(sizes)[:-1]):
-        often, many = x[count[x] > 1], x[count[x] > FEW]
-        bodies.append(code_counts(count[x]) + _rising(place[often].astype("<u4")) + _planes(code[many].astype("<u2")))
+    if not last:
+        named = ((place >= 0) & (np.bincount(at) > 1))[at]
+        wanted = _wanted(at, np.concatenate(helds))
+        flags = zip(np.split(named, cut), np.split(wanted, cut))
+    for x in np.split(at, cut):
+        raw = code_counts(count[x]) + _planes(code[x[count[x] > FEW]].astype("<u2"))
+        if not last:
+            name, want = next(flags)
+            raw += _bits(name) + _bits(want) + _rising(place[x[name]].astype("<u4"))
+        bodies.append(raw)
     return _replies(asked, number, bodies)
 
 
@@ -394,21 +431,24 @@ class Block:
         self.bounds = np.searchsorted(self.docs, np.arange(at + 1))
         self.held = self.table["held"].to_numpy(zero_copy_only=False).astype(bool)
         self.learn = ~self.held[self.docs]
-        self.words = Words(self.hashes, np.bincount(self.word[self.learn], minlength=len(self.hashes)))
+        self.train = np.bincount(self.word[self.learn], minlength=len(self.hashes))
+        self.words = Words(self.hashes, self.train, np.bincount(self.word[~self.learn], minlength=len(self.hashes)) > 0)
 
-    def listen(self, replies: pa.Table, buckets: int, upto: int, score: bool = False) -> Grams | tuple[np.ndarray, np.ndarray]:
+    def listen(self, replies: pa.Table, buckets: int, upto: int, least: int, score: bool = False) -> Grams | tuple[np.ndarray, np.ndarray]:
         """The n-grams of order ``upto`` to ask for; or, if all are told, the words'
         counts and the log10 probability of every token."""
         told: dict[int, list[tuple[int, bytes]]] = {}
         for bucket, number, raw in sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "round", "bits")))):
             told.setdefault(number, []).append((bucket, raw))
-        count, ident = self.words.hear(told.get(1, []), buckets)
+        count, ident, wanted = self.words.hear(told.get(1, []), buckets)
         n_tokens, n_words, once, twice = np.frombuffer(told[0][0][1], "<i8").tolist() if 0 in told else (0, 0, 0, 0)
         ends = np.flatnonzero(self.hashes == _END)
         # Local numbers of the n-gram that ends at each token (-1: none), with the
-        # count and corpus number of each; a text's begin is one more word.
+        # count and corpus number of each, whether other blocks have it in training texts,
+        # and whether they want it; a text's begin is one more word.
         local = np.where(count[self.word] > 0, self.word, -1)
         counts, idents = np.append(count, count[ends]), np.append(ident, _BEGIN)
+        shared, wanted = np.append(count > self.train, True), np.append(wanted, True)
         if score:
             discount = min(max(once / max(1, once + 2 * twice) if once else 0.5, 0.1), 0.9)
             p = np.where(count > 0, (count - discount) / max(n_tokens, 1), discount * n_words / n_tokens if n_tokens else 1.0)
@@ -424,30 +464,38 @@ class Block:
             of, keys = pd.factorize(rank[context[at]] * size + word_rank[at])
             own, word = np.divmod(keys, size)
             own, word = by_context[own], by_word[word]
-            train = np.bincount(of[self.learn[at]], minlength=len(keys))
-            # A pair with a word that occurs once in training is counted here or nowhere.
+            rest = np.empty(len(keys), dtype=np.int64)  # each n-gram without its first word
+            rest[of] = local[at]
+            learn = self.learn[at]
+            train = np.bincount(of[learn], minlength=len(keys))
+            held = np.bincount(of[~learn], minlength=len(keys)) > 0
             seen = counts[own]
-            shared = np.flatnonzero((seen > 1) & (count[word] > 1)) if k == 2 else np.arange(len(keys))
-            grams = Grams(keys[shared], idents[own[shared]], seen[shared], ident[word[shared]], train[shared], buckets)
+            asks = np.flatnonzero(shared[own] & shared[rest] | wanted[own] & wanted[rest])
+            grams = Grams(keys[asks], idents[own[asks]], seen[asks], ident[word[asks]], train[asks], held[asks], buckets)
             if k == upto and not score:
                 return grams
-            found, code, number = train.copy(), level_codes(np.maximum(train, 1), seen), np.zeros(len(keys), np.uint64)
-            found[shared], code[shared], number[shared] = grams.hear(told.get(k, []))
+            # What is not asked for is in this block's texts only.
+            found, number, wanted = np.where(train >= (1 if k == 2 else least), train, 0), np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)
+            code = level_codes(np.maximum(found, 1), seen)
+            found[asks], code[asks], number[asks], wanted[asks] = grams.hear(told.get(k, []), k == upto)
             if score:
                 some = np.flatnonzero(context >= 0)
                 types = successors(counts[context[some]])
                 p[some] *= types / (counts[context[some]] + types)
                 hit = found[of] > 0
                 p[at[hit]] += probability(code[of[hit]])
-            often = found > 1
+            often = found >= least
             local = np.full(len(local), -1)
             local[at[often[of]]] = of[often[of]]
-            counts, idents = found, number
+            counts, idents, shared = found, number, found > train
         return count, np.log10(p)
 
 
-def score(docs: DataFrame, fold: int = 10, order: int = ORDER) -> DataFrame:
-    """One row per document; those whose crc32(doc_id) is a multiple of ``fold`` are held out."""
+def score(docs: DataFrame, fold: int = 10, order: int = ORDER, least: int = 2) -> DataFrame:
+    """One row per document; those whose crc32(doc_id) is a multiple of ``fold`` are held out.
+
+    ``least``: training occurrences of the n-grams of three words and more that are kept.
+    """
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(fold)) == 0, F.lit(True))
     blocks, deal = rounds.dealt(docs, held.alias("held"), block_bytes=BLOCK_BYTES)
     buckets = deal.buckets
@@ -461,16 +509,16 @@ def score(docs: DataFrame, fold: int = 10, order: int = ORDER) -> DataFrame:
             if not table.num_rows:
                 return rounds._ASK.empty_table()
             block = Block(table)
-            return block.listen(replies, buckets, k).ask(block.block)
+            return block.listen(replies, buckets, k, least).ask(block.block, k == order)
 
         return grams
 
     def reply(k: int):
-        return lambda asked: serve(asked, k, 1 if k == 2 else 2)
+        return lambda asked: serve(asked, k, 1 if k == 2 else least, k == order)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(table)
-        count, got = block.listen(replies, buckets, order, score=True)
+        count, got = block.listen(replies, buckets, order, least, score=True)
         (total,) = [x for x, r in zip(replies["bits"].to_pylist(), replies["round"].to_pylist()) if r == 0]
         n, v = np.frombuffer(total, "<i8").tolist()[:2]
         base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))[block.word]

@@ -34,7 +34,7 @@ def op4_int8_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_elias_fano_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(_table(spark, sf_dir, "documents"))
+    return language_model.score(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
