@@ -188,7 +188,7 @@ class Level:
         return np.where((at >= first) & (at < last), at, -1)
 
 
-# -- messages: numbers go byte by byte, so that equal high bytes pack well --
+# -- messages: numbers go byte by byte, so that equal high bytes pack well, and packed --
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -241,12 +241,20 @@ def _wanted(at: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.bincount(at, weights=held)[at] > held
 
 
+def _packed(bodies: list[bytes]) -> pa.Array:
+    return pa.array([len(x).to_bytes(4, "little") + pa.compress(x, "zstd", asbytes=True) for x in bodies], pa.binary())
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return pa.decompress(memoryview(raw)[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True)
+
+
 def _rows(block: int, of: np.ndarray, bodies: list[bytes]) -> pa.Table:
-    return pa.table([pa.array(np.full(len(of), block, dtype=np.int32)), pa.array(of.astype(np.int32)), pa.array(bodies, pa.binary())], schema=rounds._ASK)
+    return pa.table([pa.array(np.full(len(of), block, dtype=np.int32)), pa.array(of.astype(np.int32)), _packed(bodies)], schema=rounds._ASK)
 
 
 def _replies(asked: pa.Table, number: int, bodies: list[bytes]) -> pa.Table:
-    return pa.table([asked["block"], asked["bucket"], pa.array(np.full(len(bodies), number, dtype=np.int32)), pa.array(bodies, pa.binary())], schema=rounds._ANSWER)
+    return pa.table([asked["block"], asked["bucket"], pa.array(np.full(len(bodies), number, dtype=np.int32)), _packed(bodies)], schema=rounds._ANSWER)
 
 
 class Words:
@@ -276,7 +284,7 @@ def add_words(asked: pa.Table) -> pa.Table:
     """A shard's words: corpus counts and numbers; and its N, V and how many words come once and twice."""
     asked = asked.combine_chunks()
     keys, counts, held, sizes = [], [], [], []
-    for raw in asked["body"].to_pylist():
+    for raw in map(_unpacked, asked["body"].to_pylist()):
         n = int(np.frombuffer(raw, "<u4", 1)[0])
         key, to = _unrising(raw, "<u8", n, 4)
         keys.append(key)
@@ -341,8 +349,8 @@ class Grams:
         return _rows(block, of, bodies)
 
     def hear(self, replies: list[tuple[int, bytes]], last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Corpus count (0 if left out), quantised probability and number of each n-gram, and
-        whether it is wanted. One that no other block asks for has no number, nor have those of the last order."""
+        """Corpus count (0 if left out), quantised probability (of counts over ``FEW``) and number of
+        each n-gram, and whether it is wanted. One that no other block asks for has no number, nor have those of the last order."""
         at, n = self.at, len(self.order)
         count, code, ident, wanted = np.zeros(n, np.int64), np.zeros(n, np.uint16), np.zeros(n, np.uint64), np.zeros(n, bool)
         for (bucket, raw), i, j in zip(replies, at[:-1], at[1:]):
@@ -350,8 +358,6 @@ class Grams:
             many = np.flatnonzero(n > FEW)
             own = self.order[i:j]
             count[own] = n
-            few = own[(n > 0) & (n <= FEW)]
-            code[few] = level_codes(count[few], self.context_count[few])
             code[own[many]], to = _unplanes(raw, "<u2", len(many), to)
             if last:
                 continue
@@ -366,7 +372,7 @@ def serve(asked: pa.Table, number: int, least: int, last: bool) -> pa.Table:
     """A shard of an order: adds up its n-grams, builds their level and looks every question up in it."""
     asked = asked.combine_chunks()
     contexts, totals, words, counts, helds, sizes = [], [], [], [], [], []
-    for raw in asked["body"].to_pylist():
+    for raw in map(_unpacked, asked["body"].to_pylist()):
         c, n = np.frombuffer(raw, "<u4", 2).tolist()
         context, to = _unrising(raw, "<u8", c, 8)
         total, to = _counts(raw, c, to)
@@ -439,7 +445,7 @@ class Block:
         counts and the log10 probability of every token."""
         told: dict[int, list[tuple[int, bytes]]] = {}
         for bucket, number, raw in sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "round", "bits")))):
-            told.setdefault(number, []).append((bucket, raw))
+            told.setdefault(number, []).append((bucket, _unpacked(raw) if number else raw))
         count, ident, wanted = self.words.hear(told.get(1, []), buckets)
         n_tokens, n_words, once, twice = np.frombuffer(told[0][0][1], "<i8").tolist() if 0 in told else (0, 0, 0, 0)
         ends = np.flatnonzero(self.hashes == _END)
@@ -454,40 +460,53 @@ class Block:
             p = np.where(count > 0, (count - discount) / max(n_tokens, 1), discount * n_words / n_tokens if n_tokens else 1.0)
             p = probability(quantise(np.log10(p)))[self.word]
         size = len(self.hashes)
-        by_word, word_rank = ranks(ident)
-        word_rank = word_rank[self.word]
+        word_rank, alone = ranks(ident)[1], np.bincount(self.word, minlength=size + 1) == 1
         for k in range(2, upto + 1):
             context = np.concatenate([[-1], local[:-1]])
             context[self.bounds[:-1]] = size if k == 2 and len(ends) and count[ends[0]] else -1
             at = np.flatnonzero((context >= 0) & (local >= 0))
-            by_context, rank = ranks(idents)
-            of, keys = pd.factorize(rank[context[at]] * size + word_rank[at])
-            own, word = np.divmod(keys, size)
-            own, word = by_context[own], by_word[word]
-            rest = np.empty(len(keys), dtype=np.int64)  # each n-gram without its first word
+            own, word = context[at], self.word[at]
+            # One that holds what stands in the block but once does so, too.
+            single = alone[own] | alone[local[at]]
+            more = np.flatnonzero(~single)
+            code, keys = pd.factorize(own[more] * size + word[more])
+            of = np.empty(len(at), dtype=np.int64)
+            of[more] = code
+            single = np.flatnonzero(single)
+            of[single] = np.arange(len(keys), len(keys) + len(single))
+            own, word = (np.concatenate([x, y[single]]) for x, y in zip(np.divmod(keys, size), (own, word)))
+            keys = len(own)
+            rest = np.empty(keys, dtype=np.int64)  # each n-gram without its first word
             rest[of] = local[at]
             learn = self.learn[at]
-            train = np.bincount(of[learn], minlength=len(keys))
-            held = np.bincount(of[~learn], minlength=len(keys)) > 0
+            train = np.bincount(of[learn], minlength=keys)
+            every = np.bincount(of, minlength=keys)
             seen = counts[own]
             asks = np.flatnonzero(shared[own] & shared[rest] | wanted[own] & wanted[rest])
-            grams = Grams(keys[asks], idents[own[asks]], seen[asks], ident[word[asks]], train[asks], held[asks], buckets)
+            some = np.zeros(len(idents), dtype=bool)
+            some[own[asks]] = True
+            some = np.flatnonzero(some)
+            rank = np.empty(len(idents), dtype=np.int64)
+            rank[some] = ranks(idents[some])[1]
+            grams = Grams(rank[own[asks]] * size + word_rank[word[asks]], idents[own[asks]], seen[asks], ident[word[asks]], train[asks], every[asks] > train[asks], buckets)
             if k == upto and not score:
                 return grams
             # What is not asked for is in this block's texts only.
-            found, number, wanted = np.where(train >= (1 if k == 2 else least), train, 0), np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)
-            code = level_codes(np.maximum(found, 1), seen)
-            found[asks], code[asks], number[asks], wanted[asks] = grams.hear(told.get(k, []), k == upto)
+            found, number, wanted = np.where(train >= (1 if k == 2 else least), train, 0), np.zeros(keys, np.uint64), np.zeros(keys, bool)
+            found[asks], large, number[asks], wanted[asks] = grams.hear(told.get(k, []), k == upto)
             if score:
                 some = np.flatnonzero(context >= 0)
                 types = successors(counts[context[some]])
                 p[some] *= types / (counts[context[some]] + types)
+                code = level_codes(np.maximum(found, 1), seen)
+                often = np.flatnonzero(found[asks] > FEW)
+                code[asks[often]] = large[often]
                 hit = found[of] > 0
                 p[at[hit]] += probability(code[of[hit]])
             often = found >= least
             local = np.full(len(local), -1)
             local[at[often[of]]] = of[often[of]]
-            counts, idents, shared = found, number, found > train
+            counts, idents, shared, alone = found, number, found > train, every == 1
         return count, np.log10(p)
 
 
