@@ -53,8 +53,7 @@ FEW = 254
 TYPES, PART = 2.0, 1 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(1 << 62)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_A = np.uint8(65)
 
 
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
@@ -422,7 +421,7 @@ class Block:
         self.table, self.block = rounds.ordered(table), table["block"][0].as_py()
         tokens, docs, at = [], [], 0
         for part, raw, off in tn.slices(self.table, self.table.schema.get_field_index("text")):
-            raw = _LOWER[raw]
+            raw = raw + (((raw - _A) < 26).view(np.uint8) << np.uint8(5))  # A-Z in lower case
             s, e, d = tn.word_spans(raw, off)
             n = part.num_rows
             seq = np.full(len(s) + n, _END, dtype=np.uint64)
@@ -460,14 +459,21 @@ class Block:
             p = np.where(count > 0, (count - discount) / max(n_tokens, 1), discount * n_words / n_tokens if n_tokens else 1.0)
             p = probability(quantise(np.log10(p)))[self.word]
         size = len(self.hashes)
-        word_rank, alone = ranks(ident)[1], np.bincount(self.word, minlength=size + 1) == 1
+        word_rank = np.empty(size, dtype=np.int64)
+        word_rank[self.words.order] = np.arange(size)  # words are numbered in the order of their hashes
+        alone = np.bincount(self.word, minlength=size + 1) == 1
         for k in range(2, upto + 1):
             context = np.concatenate([[-1], local[:-1]])
             context[self.bounds[:-1]] = size if k == 2 and len(ends) and count[ends[0]] else -1
             at = np.flatnonzero((context >= 0) & (local >= 0))
-            own, word = context[at], self.word[at]
+            own, rest = context[at], local[at]
+            asked = shared[own] & shared[rest] | wanted[own] & wanted[rest]
+            if not score:  # no longer n-gram of the others is asked for
+                at, asked = at[asked], asked[asked]
+                own, rest = context[at], local[at]
+            word = self.word[at]
             # One that holds what stands in the block but once does so, too.
-            single = alone[own] | alone[local[at]]
+            single = alone[own] | alone[rest]
             more = np.flatnonzero(~single)
             code, keys = pd.factorize(own[more] * size + word[more])
             of = np.empty(len(at), dtype=np.int64)
@@ -476,13 +482,13 @@ class Block:
             of[single] = np.arange(len(keys), len(keys) + len(single))
             own, word = (np.concatenate([x, y[single]]) for x, y in zip(np.divmod(keys, size), (own, word)))
             keys = len(own)
-            rest = np.empty(keys, dtype=np.int64)  # each n-gram without its first word
-            rest[of] = local[at]
             learn = self.learn[at]
             train = np.bincount(of[learn], minlength=keys)
             every = np.bincount(of, minlength=keys)
             seen = counts[own]
-            asks = np.flatnonzero(shared[own] & shared[rest] | wanted[own] & wanted[rest])
+            asks = np.zeros(keys, dtype=bool)
+            asks[of[asked]] = True
+            asks = np.flatnonzero(asks)
             some = np.zeros(len(idents), dtype=bool)
             some[own[asks]] = True
             some = np.flatnonzero(some)
